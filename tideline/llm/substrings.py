@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import NO_ID, U64, chained, ints, keyed, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds
+from .kernel import U64, chained, ints, keyed, mix, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds
 
 DEPTHS = (1, 2, 4)
 BLOB = "kind int, place int, ids binary, crcs binary, n binary, pos binary, h binary"
@@ -104,6 +104,19 @@ def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buc
         yield blob(kind, int(bucket[a]), doc[a:b], pos[a:b], ids[heads], crcs[heads])
 
 
+def located(rid: np.ndarray, rcrc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray):
+    """Places with the index of the row that they are of; again for rows that repeat (id, crc), which have equal texts."""
+    name = lambda i, c: mix(mix(i.view(U64)) + c.astype(U64))
+    names = name(ids, crcs)
+    order = np.argsort(names, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], (rid[1:] != rid[:-1]) | (rcrc[1:] != rcrc[:-1])]))
+    want, size = name(rid[head], rcrc[head]), np.diff(head, append=len(rid))
+    low, high = np.searchsorted(names[order], want, "left"), np.searchsorted(names[order], want, "right")
+    for k in range(int((high - low).max(initial=0))):
+        on = np.repeat(low + k < high, size)
+        yield pos[on], order[np.repeat(low + k, size)[on]]
+
+
 def table(rows, schema: list[str]) -> pa.Table:
     kinds = {"kind": pa.int32(), "place": pa.int32()}
     return pa.Table.from_pylist(list(rows), schema=pa.schema([(n, kinds.get(n, pa.binary())) for n in schema]))
@@ -176,15 +189,8 @@ def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits:
         starts, ends, own = word_bounds(buf, off)
         gone = np.zeros(len(starts) + 1, np.int64)
         if right.num_rows:
-            # every row of this (id, crc): rows that repeat have equal words
-            rid, rcrc, pos = unblob(right)
-            order = np.lexsort((crcs, ids))
-            names = np.stack([ids[order], crcs[order]], axis=1).view("i8,i8").ravel()
-            want = np.stack([rid, rcrc], axis=1).view("i8,i8").ravel()
-            low, high = np.searchsorted(names, want, "left"), np.searchsorted(names, want, "right")
-            for k in range(int((high - low).max(initial=0))):
-                on = low + k < high
-                at = own[order[(low + k)[on]]] + pos[on]
+            for at, which in located(*unblob(right), ids, crcs):
+                at = own[which] + at
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + span, -1)
         gone = np.cumsum(gone)[:-1] > 0
