@@ -20,7 +20,8 @@ def parts(path: Column) -> Column:
 
 def _after(path: Column, name: str, n: int) -> Column:
     """The component n places after the first one called name; null if there is none."""
-    return F.get(parts(path), F.array_position(parts(path), name).cast("int") - 1 + n)
+    at = F.array_position(parts(path), name).cast("int")
+    return F.when(at > 0, F.get(parts(path), at - 1 + n))
 
 
 def _rules(path: Column, substring: Column | None = None):
