@@ -81,11 +81,12 @@ class Model:
             tables.append(t)
             self.base.append(at)
             at += len(t)
+        tables.append(np.full((1, self.width), -1, np.int32))  # after a symbol that a language lacks any symbol starts a phrase
         table = np.concatenate(tables)
         self.table, self.base = table.ravel() * np.int32(self.width), np.array(self.base, np.int64) * self.width  # states as offsets of their rows
         self.table[self.table < 0] = -1
         root = table[np.array(self.base) // self.width]
-        self.root = np.where(root < 0, (self.base // self.width)[:, None], root) * self.width
+        self.root = np.where(root < 0, len(table) - 1, root) * self.width
         self.bits = np.log2(np.maximum(2, [len(texts[n]) for n in self.names]))
 
     def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -111,7 +112,7 @@ class Model:
             end = to < 0
             if t:
                 count[:, :m] += end
-            state[:, :m] = np.where(end, self.root[langs, c[None, :]], to)
+            state[:, :m] = np.where(end, self.root[langs, c], to)
         out = np.zeros((len(n), k), np.int64)
         np.add.at(out, doc[order], count.T)
         return out

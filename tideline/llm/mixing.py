@@ -13,7 +13,6 @@ so a round sends one row of domain totals to the driver, and executors replay th
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,7 +106,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
         table = np.zeros((k, (1 << BUCKETS) + 1))
         table[counts.domain.map({d: i for i, d in enumerate(domains)}), counts.bucket] = counts.n
         n, have = table[:, -1:], table[:, :-1]
-        share = have.sum(0) / n.sum()
+        share = have.sum(0) / max(1, n.sum())
         chi = ((have - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9)).sum(0)
         chi[have.sum(0) < 5] = 0
         best = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
@@ -124,7 +123,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
                     at += len(x)
 
         got = learn.mapInArrow(features, "id long, domain string, x binary").toPandas().sort_values(["id", "domain"])
-        w = fit(np.stack([np.frombuffer(x, np.float32) for x in got.x]), got.domain.map({d: i for i, d in enumerate(domains)}).to_numpy(), k)
+        w = np.zeros((len(best) + len(MARKS) + 3, k)) if got.empty else fit(np.stack([np.frombuffer(x, np.float32) for x in got.x]), got.domain.map({d: i for i, d in enumerate(domains)}).to_numpy(), k)
 
     def predict(batches):
         for b in batches:
