@@ -4,7 +4,7 @@ A string of `span` bytes that occurs twice holds, at the same place of each occu
 substrings. These anchors, one in about 170 bytes, are grouped by hash. An anchor's context reaches as far as the
 windows of span bytes around it. Equal contexts, found by their hashes, are repeated as a whole and need no more. Of each
 group with several contexts one of each kind is fetched; anchors are dealt to shards, whose contexts are joined and
-sorted into one suffix array: suffixes are classified, leftmost-smaller substrings sorted recursively, the rest induced.
+sorted, about SORTED bytes of whole groups at a time, into suffix arrays: suffixes are classified, leftmost-smaller substrings sorted recursively, the rest induced.
 Permuted common prefixes of span bytes or more mark the runs of suffixes that repeat; a run counts if it stands for two
 different places of the corpus. Before the shuffle each task joins the equal contexts of a block into one row, so that a
 passage in a third of all documents reaches its group once for each block.
@@ -31,6 +31,8 @@ SCHEMA = "kind int, place int, ids binary, crcs binary, pos binary, size binary,
 NAMES = ["kind", "place", "ids", "crcs", "pos", "size", "left", "h", "c"]
 #: Bytes of files for each shard and for each row bucket.
 SHARD_BYTES = 8 << 20
+#: Bytes of contexts that one suffix array sorts.
+SORTED = 1 << 20
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -191,14 +193,28 @@ def repeated(docs: DataFrame, texts: DataFrame, span: int, shards: int, buckets:
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     own = by[a:b]
                     many_own = np.repeat(begin[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
-                    out.append({"kind": 0, "place": int(shard[own[0]]), "ids": pack(rid[which[own]]), "crcs": pack(rcrc[which[own]].astype(np.uint32)), "pos": pack(start[which[own]].astype(np.uint32)), "size": pack((n[own] | np.where(many[own], MANY, 0)).astype(np.uint16)), "left": b"", "h": buf[many_own].tobytes(), "c": b""})
+                    out.append({"kind": 0, "place": int(shard[own[0]]), "ids": pack(rid[which[own]]), "crcs": pack(rcrc[which[own]].astype(np.uint32)), "pos": pack(start[which[own]].astype(np.uint32)), "size": pack((n[own] | np.where(many[own], MANY, 0)).astype(np.uint16)), "left": b"", "h": buf[many_own].tobytes(), "c": pack(h[which[own]])})
                 break  # rows that repeat (id, crc) have equal contexts, which are known to repeat
         return table_of(out)
 
     def shard(t: pa.Table) -> pa.Table:
-        ids, crcs, start, size = unrow(t, "ids", "crcs", "pos", "size")
-        many, size = size >= MANY, size & (MANY - 1)
+        ids, crcs, start, size, h = unrow(t, "ids", "crcs", "pos", "size", "c")
         text = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint8)
+        n = size & (MANY - 1)
+        begin, order = np.cumsum(n) - n, np.argsort(h, kind="stable")
+        # one suffix array for each run of whole groups of about SORTED bytes
+        new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
+        part = np.maximum.accumulate(np.where(new, (np.cumsum(n[order]) - n[order]) // SORTED, 0))
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        made = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            at = np.repeat(begin[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
+            made += sorted_shard(ids[own], crcs[own], start[own], size[own], text[at])
+        return table_of(made)
+
+    def sorted_shard(ids, crcs, start, size, text) -> list[dict]:
+        many, size = size >= MANY, size & (MANY - 1)
         # contexts one after the other, a separator after each
         first = np.cumsum(size + 1) - size - 1
         place = np.arange(len(text)) + np.repeat(np.arange(len(size)), size)
@@ -230,7 +246,7 @@ def repeated(docs: DataFrame, texts: DataFrame, span: int, shards: int, buckets:
         new = np.flatnonzero(np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (context[hit[1:]] != context[hit[:-1]])])) if len(hit) else np.zeros(0, np.int64)
         begin, last = hit[new], hit[np.append(new[1:], len(hit)) - 1] if len(hit) else hit
         k = context[begin]
-        return table_of(rows(1, row_bucket(ids[k], crcs[k], buckets), ids[k], crcs[k], start[k] + begin - first[k], last - begin + span))
+        return list(rows(1, row_bucket(ids[k], crcs[k], buckets), ids[k], crcs[k], start[k] + begin - first[k], last - begin + span))
 
     asked = texts.groupBy("place").cogroup(found.where("kind = 2").groupBy("place")).applyInArrow(fetch, SCHEMA)
     return found.where("kind = 1").unionByName(asked.groupBy("place").applyInArrow(shard, SCHEMA))
