@@ -30,9 +30,9 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SCHEMA = "kind int, place int, ids binary, crcs binary, pos binary, size binary, left binary, h binary, c binary"
 NAMES = ["kind", "place", "ids", "crcs", "pos", "size", "left", "h", "c"]
 #: Bytes of files for each shard and for each row bucket.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Bytes of contexts that one suffix array sorts.
-SORTED = 1 << 20
+SORTED = 1 << 19
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -274,12 +274,12 @@ def deduplicated(docs: DataFrame, span: int = 400) -> DataFrame:
             for which, row in located(rid[order], rcrc[order], order, ids, crcs):
                 np.add.at(gone, off[row] + start[which], 1)
                 np.add.at(gone, off[row] + start[which] + n[which], -1)
-        gone = np.cumsum(gone)[:-1] > 0
+        gone = np.cumsum(gone, dtype=np.int32)[:-1] > 0
         run = gone.copy()
         run[1:] &= ~gone[:-1]
         edge = off[(off < len(buf))]
         run[edge] = gone[edge]
-        total = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[off]
+        total = lambda x: np.concatenate([np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32)])[off].astype(np.int64)  # noqa: E731  a bucket is far below 2 GiB
         removed = np.diff(total(gone))
         kept_off = np.concatenate([[0], np.cumsum(np.diff(off) - removed)])
         kept = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(kept_off.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(buf[~gone]))])
