@@ -50,12 +50,53 @@ def shape(buf, off, tokens) -> np.ndarray:
     return np.stack([*shares, np.log1p(tokens) / 8, np.diff(off) / np.maximum(tokens, 1) / 10], axis=1)
 
 
-def matrix(part, buf, off, doc, bucket, tokens, place: np.ndarray) -> np.ndarray:
-    """Features of each row: presence of chosen buckets (place: bucket to column or -1), shape, and 1."""
-    x = np.zeros((len(part), place.max(initial=-1) + 1), np.float32)
+PARSED = "id long, crc long, tokens long, shape binary, words binary"
+
+
+def parsed(docs: DataFrame) -> DataFrame:
+    """id, crc, tokens, shape (float32) and words (the distinct buckets, as two bytes each) of each row of docs."""
+
+    def run(batches):
+        for b in batches:
+            at = 0
+            for part, buf, off, doc, bucket, tokens in document_words(b, "text"):
+                n = len(part)
+                pair = np.unique(doc << BUCKETS | bucket)
+                ends = np.searchsorted(pair, np.arange(n + 1) << BUCKETS)
+                form = shape(buf, off, tokens).astype("<f4")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(tokens), blobs(form, np.arange(n + 1) * form.shape[1] * 4), blobs((pair & (1 << BUCKETS) - 1).astype("<u2"), ends * 2)], ["id", "crc", "tokens", "shape", "words"])
+                at += n
+
+    return written(keyed(docs).mapInArrow(run, PARSED), "parsed")
+
+
+def blobs(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def column(b: pa.RecordBatch, name: str) -> pa.Array:
+    return b.column(b.schema.get_field_index(name))
+
+
+def word_pairs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each distinct word of the rows of a batch of parsed()."""
+    buf, off = text_buffer(column(b, "words"))
+    return np.repeat(np.arange(len(b)), np.diff(off) // 2), np.frombuffer(buf.tobytes(), "<u2").astype(np.int64)
+
+
+def presence(b: pa.RecordBatch, place: np.ndarray) -> np.ndarray:
+    """For each row of a batch of parsed() 1 for the chosen buckets that it has (place: bucket to column or -1)."""
+    x = np.zeros((len(b), place.max(initial=-1) + 1), np.uint8)
+    doc, bucket = word_pairs(b)
     at = place[bucket]
     x[doc[at >= 0], at[at >= 0]] = 1
-    return np.concatenate([x, shape(buf, off, tokens), np.ones((len(part), 1))], axis=1)
+    return x
+
+
+def matrix(present: np.ndarray, form: bytes) -> np.ndarray:
+    """Features of each row: presence of chosen buckets, shape, and 1."""
+    n = len(present)
+    return np.concatenate([present.astype(np.float32), np.frombuffer(form, "<f4").reshape(n, -1), np.ones((n, 1), np.float32)], axis=1)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -79,22 +120,19 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     """id, crc, tokens and p (array by domain) of each row of docs, and the domains' names. No labelled row: one domain, `all`."""
     marked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.concat(F.lit("q"), F.max("quality"), F.lit("t"), F.max("toxic")).alias("domain"))
     domains = sorted(r[0] for r in marked.select("domain").distinct().limit(1000).collect())
-    rows = keyed(docs)
-    known = rows.join(marked, "id").select("id", "text", "domain")
+    rows = parsed(docs)
+    known = rows.join(marked, "id")
     schema = "domain string, bucket int, n long"
 
     def count(batches):
         total = {}
         for b in batches:
-            names = np.array(b.column(2).to_pylist(), object)
-            for part, _, _, doc, bucket, _ in document_words(b, "text"):
-                own, names = names[: len(part)], names[len(part) :]
-                pair = np.unique(doc << BUCKETS | bucket)
-                for d in set(own):
-                    t = total.setdefault(d, np.zeros((1 << BUCKETS) + 1, np.int64))
-                    mine = own == d
-                    t[:-1] += np.bincount(pair[mine[pair >> BUCKETS]] & (1 << BUCKETS) - 1, minlength=1 << BUCKETS)
-                    t[-1] += mine.sum()
+            names = np.array(column(b, "domain").to_pylist(), object)
+            doc, bucket = word_pairs(b)
+            for d in set(names):
+                t = total.setdefault(d, np.zeros((1 << BUCKETS) + 1, np.int64))
+                t[:-1] += np.bincount(bucket[(names == d)[doc]], minlength=1 << BUCKETS)
+                t[-1] += (names == d).sum()
         for d, t in total.items():
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_pydict({"domain": [d] * len(at), "bucket": at.astype(np.int32), "n": t[at]})
@@ -102,7 +140,7 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     k = max(1, len(domains))
     place, w = np.full(1 << BUCKETS, -1), None
     if k > 1:
-        counts = known.mapInArrow(count, schema).groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most k 2**BUCKETS rows
+        counts = known.select("words", "domain").mapInArrow(count, schema).groupBy("domain", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most k 2**BUCKETS rows
         table = np.zeros((k, (1 << BUCKETS) + 1))
         table[counts.domain.map({d: i for i, d in enumerate(domains)}), counts.bucket] = counts.n
         n, have = table[:, -1:], table[:, :-1]
@@ -111,28 +149,26 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
         chi[have.sum(0) < 5] = 0
         best = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
         place[best] = np.arange(len(best))
-        chosen = known.select("id", "domain").orderBy(F.xxhash64("id"), "id").limit(sample)
-        learn = known.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi").select("id", "domain", "text")
+        chosen = known.select("id", "crc", "domain").distinct().orderBy(F.xxhash64("id", "crc"), "id", "crc").limit(sample)
+        learn = rows.join(F.broadcast(chosen), ["id", "crc"]).select("id", "crc", "domain", "shape", "words")
 
         def features(batches):
             for b in batches:
-                at = 0
-                for got in document_words(b, "text"):
-                    x = matrix(*got, place)
-                    yield pa.RecordBatch.from_pydict({"id": b.column(0).slice(at, len(x)), "domain": b.column(1).slice(at, len(x)), "x": [r.astype(np.float32).tobytes() for r in x]})
-                    at += len(x)
+                bits = np.packbits(presence(b, place), axis=1)
+                yield pa.RecordBatch.from_arrays([*(column(b, n) for n in ("id", "crc", "domain", "shape")), blobs(bits, np.arange(len(b) + 1) * bits.shape[1])], ["id", "crc", "domain", "shape", "bits"])
 
-        got = learn.mapInArrow(features, "id long, domain string, x binary").toPandas().sort_values(["id", "domain"])
-        w = np.zeros((len(best) + len(MARKS) + 3, k)) if got.empty else fit(np.stack([np.frombuffer(x, np.float32) for x in got.x]), got.domain.map({d: i for i, d in enumerate(domains)}).to_numpy(), k)
+        # rows that repeat (id, crc) count once: sample rows at most, of about 100 bytes
+        got = learn.mapInArrow(features, "id long, crc long, domain string, shape binary, bits binary").dropDuplicates(["id", "crc"]).toPandas().sort_values(["id", "crc"])
+        w = np.zeros((len(best) + len(MARKS) + 3, k))
+        if not got.empty:
+            bits = np.frombuffer(b"".join(got.bits), np.uint8).reshape(len(got), -1)
+            w = fit(matrix(np.unpackbits(bits, axis=1, count=len(best)), b"".join(got["shape"])), got.domain.map({d: i for i, d in enumerate(domains)}).to_numpy(), k)
 
     def predict(batches):
         for b in batches:
-            at = 0
-            for got in document_words(b, "text"):
-                n = len(got[0])
-                p = softmax(matrix(*got, place) @ w) if k > 1 else np.ones((n, 1))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(got[-1]), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.round(p, 9).ravel()))], ["id", "crc", "tokens", "p"])
-                at += n
+            n, (form, off) = len(b), text_buffer(column(b, "shape"))
+            p = softmax(matrix(presence(b, place), form.tobytes()) @ w) if k > 1 else np.ones((n, 1))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("id", "crc", "tokens")), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.round(p.astype(np.float64), 9).ravel()))], ["id", "crc", "tokens", "p"])
 
     return rows.mapInArrow(predict, "id long, crc long, tokens long, p array<double>"), domains or ["all"]
 
