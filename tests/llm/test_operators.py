@@ -100,6 +100,20 @@ def test_suffixes_of_long_texts_in_pieces(spark, monkeypatch):
     assert whole == pieces and [r.n_removed for r in whole] == [1200, 1200, 0]
 
 
+def test_suffixes_of_a_passage_in_many_texts_window_by_window(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage = text(900)
+    rows = [(k, text(int(rng.integers(0, 600))) + passage[int(rng.integers(0, 90)) :] + text(int(rng.integers(0, 600)))) for k in range(60)] + [(60, passage[:420]), (61, passage * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = suffixes.query(docs).orderBy("doc_id").collect()
+    monkeypatch.setattr(suffixes, "SORTED", 1000)
+    alone = suffixes.query(docs).orderBy("doc_id").collect()
+    many = Counter(t[k : k + 400] for _, t in rows for k in range(len(t) - 399))
+    gone = [len({x for k in range(len(t) - 399) if many[t[k : k + 400]] > 1 for x in range(k, k + 400)}) for _, t in rows]
+    assert whole == alone and [r.n_removed for r in whole] == gone
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(1)
     for k in range(120):

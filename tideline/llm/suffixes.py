@@ -5,6 +5,8 @@ substrings. These anchors, one in about 170 bytes, are grouped by hash. An ancho
 windows of span bytes around it. Equal contexts, found by their hashes, are repeated as a whole and need no more. Of each
 group with several contexts one of each kind is fetched; anchors are dealt to shards, whose contexts are joined and
 sorted, about SORTED bytes of whole groups at a time, into suffix arrays: suffixes are classified, leftmost-smaller substrings sorted recursively, the rest induced.
+Before, contexts that can share no window are left out, and an anchor whose contexts are of more than SORTED bytes is
+compared window by window, as its equal windows lie alike around it.
 Permuted common prefixes of span bytes or more mark the runs of suffixes that repeat; a run counts if it stands for two
 different places of the corpus. Before the shuffle each task joins the equal contexts of a block into one row, so that a
 passage in a third of all documents reaches its group once for each block.
@@ -126,6 +128,72 @@ def unrow(t: pa.Table, *names: str) -> list[np.ndarray]:
     return out
 
 
+def gathered(text: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The strings of n bytes at begin, one after the other."""
+    return text[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def parts(n: np.ndarray, most: int):
+    """Ranges of strings of n bytes that hold about most bytes each."""
+    part = (np.cumsum(n) - n) // most
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    return zip(cuts, np.append(cuts[1:], len(n)))
+
+
+def shared(*keys: np.ndarray) -> np.ndarray:
+    """Whether another row has the same keys."""
+    order = np.lexsort(keys)
+    same = np.logical_and.reduce([k[order[1:]] == k[order[:-1]] for k in keys])
+    out = np.zeros(len(order), bool)
+    out[order[1:]] |= same
+    out[order[:-1]] |= same
+    return out
+
+
+def matchable(text: np.ndarray, begin: np.ndarray, n: np.ndarray, left: np.ndarray, h: np.ndarray, span: int) -> np.ndarray:
+    """Which contexts can share a window with another one of their anchor.
+
+    Equal windows lie alike around their anchor. Such a window begins at most half of its reach before the anchor and
+    holds all bytes from there to span - half, or holds the half before the anchor and the anchor itself."""
+    half, out = (span - GRAM) // 2, np.zeros(len(n), bool)
+    after, around = np.zeros(len(n), U64), np.zeros(len(n), U64)
+    for a, b in parts(n, SORTED):
+        p = prefix_sums(text[begin[a] : begin[b - 1] + n[b - 1]])
+        at = begin[a:b] - begin[a] + left[a:b]
+        far, near = n[a:b] - left[a:b] >= span - half, left[a:b] >= half
+        after[a:b][far] = range_hash(p, at[far], at[far] + span - half)
+        around[a:b][near] = range_hash(p, at[near] - half, at[near] + GRAM)
+    for key in (after, around):
+        has = np.flatnonzero(key)
+        out[has] |= shared(key[has], h[has])
+    return out
+
+
+def windows_alike(text: np.ndarray, begin: np.ndarray, n: np.ndarray, left: np.ndarray, span: int):
+    """Of one anchor's contexts the ranges (context, begin, end) that windows equal to one of another context cover.
+
+    Equal windows lie alike around the anchor, so each distance to it is compared by itself: eight bytes for each window
+    instead of a suffix array of all contexts."""
+    wide = span - GRAM + 1
+    h = np.zeros((wide, len(n)), U64)
+    reach = lambda d, a, b: a + np.flatnonzero((left[a:b] >= d) & (n[a:b] - left[a:b] >= span - d))
+    for a, b in parts(n, SORTED):
+        own = gathered(text, begin[a:b], n[a:b])
+        p, at = prefix_sums(own), np.cumsum(n[a:b]) - n[a:b] + left[a:b]
+        for d in range(wide):
+            k = reach(d, a, b)
+            h[d, k] = range_hash(p, at[k - a] - d, at[k - a] - d + span)
+    hit = np.zeros((len(n), wide), bool)
+    for d in range(wide):
+        k = reach(d, 0, len(n))
+        hit[k, wide - 1 - d] = shared(h[d, k])
+    edge = np.diff(hit.astype(np.int8), axis=1, prepend=0, append=0)
+    which, first = np.nonzero(edge == 1)
+    last = np.nonzero(edge == -1)[1] - 1
+    zero = left[which] - (wide - 1)
+    return which, zero + first, zero + last + span
+
+
 #: Of a context's size the bit that says: this context is known to occur more than once.
 MANY = 1 << 15
 
@@ -172,7 +240,7 @@ def repeated(docs: DataFrame, texts: DataFrame, span: int, shards: int, buckets:
         kinds = np.diff(first, append=len(hh))
         ask = np.repeat(kinds > 1, kinds)
         rep, flag = order[head[ask]], many[ask]
-        made += rows(2, row_bucket(ids[rep], crcs[rep], buckets), ids[rep], crcs[rep], (pos - left)[rep], size[rep] | np.where(flag, MANY, 0), None, hh[ask])
+        made += rows(2, row_bucket(ids[rep], crcs[rep], buckets), ids[rep], crcs[rep], (pos - left)[rep], size[rep] | np.where(flag, MANY, 0), left[rep], hh[ask])
         return table_of(made)
 
     found = written(docs.mapInArrow(scatter, SCHEMA).groupBy("kind", "place").applyInArrow(group, SCHEMA), "contexts")
@@ -182,9 +250,9 @@ def repeated(docs: DataFrame, texts: DataFrame, span: int, shards: int, buckets:
         if right.num_rows and left.num_rows:
             ids, crcs = ints(left["id"]), ints(left["crc"])
             buf, off = text_buffer(left["text"])
-            rid, rcrc, start, size, h = unrow(right, "ids", "crcs", "pos", "size", "h")
-            order = np.lexsort((rcrc, rid))
-            rid, rcrc, start, size, h = (x[order] for x in (rid, rcrc, start, size, h))
+            asks = unrow(right, "ids", "crcs", "pos", "size", "left", "h")
+            order = np.lexsort((asks[1], asks[0]))
+            rid, rcrc, start, size, before, h = (x[order] for x in asks)
             for which, row in located(rid, rcrc, np.arange(len(rid)), ids, crcs):
                 begin, many, n = off[row] + start[which], size[which] >= MANY, size[which] & (MANY - 1)
                 shard = (h[which] % U64(shards)).astype(np.int64)
@@ -193,24 +261,35 @@ def repeated(docs: DataFrame, texts: DataFrame, span: int, shards: int, buckets:
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     own = by[a:b]
                     many_own = np.repeat(begin[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
-                    out.append({"kind": 0, "place": int(shard[own[0]]), "ids": pack(rid[which[own]]), "crcs": pack(rcrc[which[own]].astype(np.uint32)), "pos": pack(start[which[own]].astype(np.uint32)), "size": pack((n[own] | np.where(many[own], MANY, 0)).astype(np.uint16)), "left": b"", "h": buf[many_own].tobytes(), "c": pack(h[which[own]])})
+                    out.append({"kind": 0, "place": int(shard[own[0]]), "ids": pack(rid[which[own]]), "crcs": pack(rcrc[which[own]].astype(np.uint32)), "pos": pack(start[which[own]].astype(np.uint32)), "size": pack((n[own] | np.where(many[own], MANY, 0)).astype(np.uint16)), "left": pack(before[which[own]].astype(np.uint16)), "h": buf[many_own].tobytes(), "c": pack(h[which[own]])})
                 break  # rows that repeat (id, crc) have equal contexts, which are known to repeat
         return table_of(out)
 
     def shard(t: pa.Table) -> pa.Table:
-        ids, crcs, start, size, h = unrow(t, "ids", "crcs", "pos", "size", "c")
+        ids, crcs, start, size, left, h = unrow(t, "ids", "crcs", "pos", "size", "left", "c")
         text = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint8)
         n = size & (MANY - 1)
-        begin, order = np.cumsum(n) - n, np.argsort(h, kind="stable")
-        # one suffix array for each run of whole groups of about SORTED bytes
-        new = np.concatenate([[True], h[order[1:]] != h[order[:-1]]])
-        part = np.maximum.accumulate(np.where(new, (np.cumsum(n[order]) - n[order]) // SORTED, 0))
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        begin = np.cumsum(n) - n
+        order = np.flatnonzero(matchable(text, begin, n, left, h, span))
+        order = order[np.argsort(h[order], kind="stable")]
+        if not len(order):
+            return table_of([])
+        # one suffix array for each run of whole groups of about SORTED bytes; a larger group alone, window by window
+        head = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+        bulk = np.add.reduceat(n[order], head)
+        large = bulk > SORTED
+        part = np.cumsum(np.where(large, 0, bulk)) // SORTED
+        alone = large | np.concatenate([[False], large[:-1]])
+        cuts = np.flatnonzero(np.concatenate([[True], alone[1:] | (part[1:] != part[:-1])]))
         made = []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            own = order[a:b]
-            at = np.repeat(begin[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(n[own].sum())
-            made += sorted_shard(ids[own], crcs[own], start[own], size[own], text[at])
+        for a, b in zip(cuts, np.append(cuts[1:], len(head))):
+            own = order[head[a] : head[b] if b < len(head) else None]
+            if large[a]:
+                k, at, stop = windows_alike(text, begin[own], n[own], left[own], span)
+                k = own[k]
+                made += rows(1, row_bucket(ids[k], crcs[k], buckets), ids[k], crcs[k], start[k] + at, stop - at)
+            else:
+                made += sorted_shard(ids[own], crcs[own], start[own], size[own], gathered(text, begin[own], n[own]))
         return table_of(made)
 
     def sorted_shard(ids, crcs, start, size, text) -> list[dict]:
