@@ -5,7 +5,7 @@ substrings. These anchors, one in about 170 bytes, are grouped by hash. An ancho
 windows of span bytes around it. Equal contexts, found by their hashes, are repeated as a whole and need no more. Of each
 group with several contexts one of each kind is fetched; anchors are dealt to shards, whose contexts are joined and
 sorted, about SORTED bytes of whole groups at a time, into suffix arrays: suffixes are classified, leftmost-smaller substrings sorted recursively, the rest induced.
-Before, contexts that can share no window are left out, and an anchor whose contexts are of more than SORTED bytes is
+Before, contexts shrink to the windows that another may share, and an anchor whose contexts are of more than SORTED bytes is
 compared window by window, as its equal windows lie alike around it.
 Permuted common prefixes of span bytes or more mark the runs of suffixes that repeat; a run counts if it stands for two
 different places of the corpus. Before the shuffle each task joins the equal contexts of a block into one row, so that a
@@ -35,6 +35,8 @@ NAMES = ["kind", "place", "ids", "crcs", "pos", "size", "left", "h", "c"]
 SHARD_BYTES = 4 << 20
 #: Bytes of contexts that one suffix array sorts.
 SORTED = 1 << 19
+#: Ranges of a window's distance to its anchor by which contexts are looked up for a match.
+RANGES = 8
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -150,23 +152,28 @@ def shared(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def matchable(text: np.ndarray, begin: np.ndarray, n: np.ndarray, left: np.ndarray, h: np.ndarray, span: int) -> np.ndarray:
-    """Which contexts can share a window with another one of their anchor.
+def matchable(text: np.ndarray, begin: np.ndarray, n: np.ndarray, left: np.ndarray, h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """By context the least and largest distance before its anchor at which a window that another one may share begins.
 
-    Equal windows lie alike around their anchor. Such a window begins at most half of its reach before the anchor and
-    holds all bytes from there to span - half, or holds the half before the anchor and the anchor itself."""
-    half, out = (span - GRAM) // 2, np.zeros(len(n), bool)
-    after, around = np.zeros(len(n), U64), np.zeros(len(n), U64)
+    Equal windows lie alike around their anchor. Those that begin first to last bytes before it all hold the bytes from
+    first before it to span - last after it: contexts that share these with no other have no match in that range. Where
+    no range has one, the largest is -1."""
+    least, most = np.full(len(n), span), np.full(len(n), -1)
+    edges = np.linspace(0, span - GRAM + 1, RANGES + 1).astype(np.int64)
+    key = np.zeros((RANGES, len(n)), U64)
+    reach = [(left >= first) & (n - left >= span - (stop - 1)) for first, stop in zip(edges[:-1], edges[1:])]
     for a, b in parts(n, SORTED):
         p = prefix_sums(text[begin[a] : begin[b - 1] + n[b - 1]])
         at = begin[a:b] - begin[a] + left[a:b]
-        far, near = n[a:b] - left[a:b] >= span - half, left[a:b] >= half
-        after[a:b][far] = range_hash(p, at[far], at[far] + span - half)
-        around[a:b][near] = range_hash(p, at[near] - half, at[near] + GRAM)
-    for key in (after, around):
-        has = np.flatnonzero(key)
-        out[has] |= shared(key[has], h[has])
-    return out
+        for r in range(RANGES):
+            k = np.flatnonzero(reach[r][a:b])
+            key[r, a + k] = range_hash(p, at[k] - edges[r], at[k] + span - (edges[r + 1] - 1))
+    for r in range(RANGES):
+        k = np.flatnonzero(reach[r])
+        k = k[shared(key[r, k], h[k])]
+        least[k] = np.minimum(least[k], edges[r])
+        most[k] = edges[r + 1] - 1
+    return least, most
 
 
 def windows_alike(text: np.ndarray, begin: np.ndarray, n: np.ndarray, left: np.ndarray, span: int):
@@ -270,7 +277,12 @@ def repeated(docs: DataFrame, texts: DataFrame, span: int, shards: int, buckets:
         text = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint8)
         n = size & (MANY - 1)
         begin = np.cumsum(n) - n
-        order = np.flatnonzero(matchable(text, begin, n, left, h, span))
+        least, most = matchable(text, begin, n, left, h, span)
+        order = np.flatnonzero(most >= 0)
+        # a context shrinks to the windows that may have a match
+        most = np.minimum(most, left)
+        n = np.minimum(most + span - least, n - left + most)
+        begin, start, left, size = begin + left - most, start + left - most, most, n | size & MANY
         order = order[np.argsort(h[order], kind="stable")]
         if not len(order):
             return table_of([])
