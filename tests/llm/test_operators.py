@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -100,6 +101,27 @@ def test_suffixes_of_long_texts_in_pieces(spark, monkeypatch):
     assert whole == pieces and [r.n_removed for r in whole] == [1200, 1200, 0]
 
 
+def test_anchors_of_long_texts_in_pieces(monkeypatch):
+    """Here and not in a Spark worker, which would import the module without the patch."""
+    text = np.random.default_rng(3).integers(97, 123, 9000).astype(np.uint8).tobytes().decode()
+    part = pa.record_batch([pa.array([1]), pa.array([1]), pa.array([text])], names=["id", "crc", "text"])
+    found = lambda: sorted(zip(*[np.concatenate(x).tolist() for x in zip(*suffixes.blocks(part, 400))][1:]))
+    whole = found()
+    monkeypatch.setattr(suffixes, "BLOCK", 1000)
+    assert len(list(suffixes.blocks(part, 400))) == 9 and found() == whole
+
+
+def test_windows_alike():
+    rng = np.random.default_rng(7)
+    draw = lambda n: rng.integers(97, 123, n).astype(np.uint8)
+    middle = draw(500)
+    texts = [np.concatenate([draw(60), middle[40 * k :], draw(90)]) for k in range(4)]
+    left, n = np.array([60 + 250 - 40 * k for k in range(4)]), np.array([len(t) for t in texts])
+    got = {(int(k), x) for k, a, b in zip(*suffixes.windows_alike(np.concatenate(texts), np.cumsum(n) - n, n, left, 400)) for x in range(a, b)}
+    many = Counter(bytes(t[i : i + 400]) for t in texts for i in range(len(t) - 399))
+    assert got == {(k, x) for k, t in enumerate(texts) for i in range(len(t) - 399) if many[bytes(t[i : i + 400])] > 1 for x in range(i, i + 400)}
+
+
 def test_suffixes_of_a_passage_in_many_texts_window_by_window(spark, monkeypatch):
     rng = np.random.default_rng(5)
     text = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
