@@ -322,6 +322,25 @@ def test_mixing(spark, none):
     assert mixing.query(none, labels).count() == 0 and mixing.query(docs, labels.limit(0)).count() == 182
 
 
+def test_rates_reach_targets_on_skewed_lengths(spark):
+    rng = np.random.default_rng(12)
+    share = {0: 700, 1: 200, 2: 80, 3: 20}
+    rows = [(int(t), np.eye(4)[d].tolist()) for d, n in share.items() for t in rng.integers(20, 400, n)] + [(100_000, [1.0, 0.0, 0.0, 0.0]), (0, [0.25] * 4)]
+    members = spark.createDataFrame(rows, "tokens long, p array<double>")
+    now = np.array([t * np.array(p) for t, p in rows]).sum(axis=0)
+    goal = now * [1.0, 0.5, 0.1, 0.0]
+    rated, e = mixing.rates(members, goal)
+    rated = rated.collect()
+    assert (np.abs(e - goal) < 1e-3 * now).all() and np.allclose(sum(r.rate * r.tokens * np.array(r.p) for r in rated), e)
+    assert [r.rate for r in rated if not r.tokens] == [1.0]
+    with pytest.raises(RuntimeError, match="converge"):
+        mixing.rates(members, goal, rounds=0)
+    # out of reach: every row's posteriors are the same, so the totals' ratio is fixed; the minimum is found
+    flat = spark.createDataFrame([(10, [0.75, 0.25]), (30, [0.75, 0.25])], "tokens long, p array<double>")
+    _, e = mixing.rates(flat, np.array([30.0, 0.0]))
+    assert np.allclose(e, [22.5, 7.5], rtol=1e-3)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
