@@ -220,6 +220,21 @@ def test_warc(spark, tmp_path):
     assert warc.query(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("split", [37, 211, 1 << 20])
+def test_warc_payloads_that_end_in_line_breaks(spark, tmp_path, split):
+    ends = ["", "\r\n", "\r\n\r\n", "\r\n" * 3, "\r\n\r", "\n", "\r"]
+    bodies = [*(f"page {k}{e}" for k, e in enumerate(ends)), *ends, "WARC/1.0", "WARC/1.0\r\n", "x\r\nWARC/1.", "\r\nWARC/1.0\r\n\r\n\r\n", "last"]
+    pages = spark.createDataFrame(list(enumerate([f"{b}" for b in bodies])), "page_id long, html string").withColumn("url", F.concat(F.lit("u" * 9), "page_id")).coalesce(1)
+    warc.written_archives(pages, str(tmp_path / "w"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        back = {r.page_id: (bytes(r.payload).decode(), r.own_digest) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert back == {i: (b, warc.digest_of(b.encode())) for i, b in enumerate(bodies)}
+
+
 def test_rules(docs, none, rows):
     want = []
     for r in rows:

@@ -3,8 +3,9 @@
 Writing: a record is a line of which the separator is CR LF CR LF, so files are plain WARC, and the output committer
 makes lost tasks harmless. Pages with equal payloads have one response, with the largest page_id; the others revisit it.
 
-Reading: the text reader splits files at CR LF CR LF, so that any record's start begins a chunk, in whichever split. A
-task emits each chunk that looks like a record's header as a candidate, with its offset in the split and that of its
+Reading: the text reader splits files at CR LF "WARC/1.", which every record but a file's first follows. No start of this
+mark is an end of it, so its places do not depend on where reading starts, nor on the line breaks that end a payload: any
+record's start begins a chunk, in whichever split. A task emits each chunk that opens with a record's header as a candidate, with its offset in the split and that of its
 successor, and follows successors as far as the split goes. Offsets in the file follow from the sums of the splits
 before. From each file's start, pointer jumping over the exits of splits finds where the chain enters each split; what
 the chain does not reach is magic inside a payload and is dropped. Records that run over the end of a split are read
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from .kernel import shared_path, written
 
 SEP = "\r\n\r\n"
+#: What all records start with, and the mark between chunks.
+MAGIC = "WARC/1."
+MARK = "\r\n" + MAGIC
 #: Fixed value: the alphabet of base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BROADCAST_ROWS = 200_000
@@ -67,12 +71,10 @@ def number(name: str) -> int | None:
     return int(rest) if rest.lstrip("-").isdigit() else None
 
 
-def header(chunk: bytes) -> dict | None:
-    """The fields of a record's header; None if the chunk is none."""
-    if not chunk.startswith(b"WARC/1."):
-        return None
+def header(text: bytes) -> dict | None:
+    """The fields of a record's header from after the magic to before the empty line; None if it is none."""
     got = {}
-    for line in chunk.split(b"\r\n")[1:]:
+    for line in text.split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -83,15 +85,26 @@ def header(chunk: bytes) -> dict | None:
 
 
 def chunks(batches):
-    """(file, split, offset in the split, chunk), in order."""
-    key, off = None, 0
+    """(file, split, offset of the magic in the split, bytes from after the magic to the next mark), in order."""
+    key, off, magic = None, 0, len(MAGIC)
     for b in batches:
         for value, file, start in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            chunk = value.as_buffer().to_pybytes()
             if (file, start) != key:
                 key, off = (file, start), 0
-            chunk = value.as_buffer().to_pybytes()
+                if start == 0:  # no mark is before a file's first chunk
+                    if not chunk.startswith(MAGIC.encode()):
+                        off = len(chunk) + 2
+                        continue
+                    chunk = chunk[magic:]
             yield file, start, off, chunk
-            off += len(chunk) + 4
+            off += magic + len(chunk) + 2
+
+
+def head_end(chunk: bytes) -> int:
+    """Where the empty line after a chunk's header starts, or -1; its second line break may be the next mark's."""
+    at = chunk.find(SEP.encode())
+    return len(chunk) - 2 if at < 0 and chunk.endswith(b"\r\n") else at
 
 
 def digest_of(payload: bytes) -> str:
@@ -99,7 +112,7 @@ def digest_of(payload: bytes) -> str:
 
 
 def scanned(spark, path: str) -> DataFrame:
-    return spark.read.option("lineSep", SEP).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    return spark.read.option("lineSep", MARK).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
 
 
 def candidates(spark, path: str, payloads: bool) -> DataFrame:
@@ -108,11 +121,11 @@ def candidates(spark, path: str, payloads: bool) -> DataFrame:
     def run(batches):
         rows: list[dict] = []
         key, end = None, 0
-        open_: list[list] = []  # candidates whose payload is not complete: row, bytes still to come, parts
+        open_: list[list] = []  # candidates whose payload is not complete: row, its bytes, bytes held, parts between marks
 
         def close(one, whole):
-            row, _, parts = one
-            data = SEP.encode().join(parts) if whole else b""
+            row, n, _, parts = one
+            data = MARK.encode().join(parts)[len(SEP) :][:n] if whole else b""
             row["whole"] = whole
             row["own_digest"] = digest_of(data) if whole else None
             row["payload"] = data if payloads and whole else None
@@ -128,28 +141,23 @@ def candidates(spark, path: str, payloads: bool) -> DataFrame:
             open_.clear()
             return pa.RecordBatch.from_pylist(out, schema=SCHEMA)
 
-        size = 0
         for file, split, off, chunk in chunks(batches):
             if key and key != (file, split):
                 yield flush()
-                size = 0
-            key, end = (file, split), off + len(chunk) + 4
+            key, end = (file, split), off + len(MARK) + len(chunk)
             for one in open_:
-                one[1] -= len(chunk) + (4 if one[2] else 0)
-                one[2].append(chunk)
-                if one[1] <= 0:
-                    close(one, one[1] == 0)
-            open_ = [one for one in open_ if one[1] > 0]
-            if (h := header(chunk)) is not None:
+                one[2] += len(MARK) + len(chunk)
+                one[3].append(chunk)
+            at = head_end(chunk)
+            if at >= 0 and (h := header(chunk[:at])) is not None:
                 n = h.pop("size")
-                row = h | {"file": file, "split": split, "off": off, "next": off + len(chunk) + 4 + n + 4}
+                row = h | {"file": file, "split": split, "off": off, "next": off + len(MAGIC) + at + len(SEP) + n + len(SEP)}
                 rows.append(row)
-                one = [row, n, []]
-                if n == 0:
+                open_.append([row, n, len(chunk) - at - len(SEP), [chunk[at:]]])
+            for one in open_:
+                if one[1] <= max(one[2], 0):
                     close(one, True)
-                else:
-                    open_.append(one)
-                size += n
+            open_ = [one for one in open_ if one[1] > max(one[2], 0)]
         if key:
             yield flush()
 
@@ -211,15 +219,17 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
         for file, split, off, chunk in chunks(batches):
             base, spans = want.get((file, split), (0, ()))
             at = base + off
-            out = [{"file": file, "start": s, "at": at, "chunk": chunk} for s, e in spans if s < at < e]
+            out = [{"file": file, "start": s, "stop": e, "at": at, "chunk": chunk} for s, e in spans if s <= at < e]
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("chunk", pa.binary())]))
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("at", pa.int64()), ("chunk", pa.binary())]))
 
     def join(t: pa.Table) -> pa.Table:
-        data = SEP.encode().join(c for _, c in sorted(zip(t["at"].to_pylist(), t["chunk"].to_pylist())))
+        parts = [c for _, c in sorted(zip(t["at"].to_pylist(), t["chunk"].to_pylist()))]
+        data, at = MARK.encode().join(parts), head_end(parts[0]) + len(SEP)
+        data = data[at : t["stop"][0].as_py() - t["start"][0].as_py() - len(MAGIC) - len(SEP)]
         return pa.table({"file": t["file"][:1], "start": t["start"][:1], "bytes": pa.array([data], pa.binary()), "found": [digest_of(data)]})
 
-    rebuilt = scanned(spark, path).mapInArrow(pieces, "file string, start long, at long, chunk binary").groupBy("file", "start").applyInArrow(join, "file string, start long, bytes binary, found string")
+    rebuilt = scanned(spark, path).mapInArrow(pieces, "file string, start long, stop long, at long, chunk binary").groupBy("file", "start").applyInArrow(join, "file string, start long, bytes binary, found string")
     late = good.where("not whole").withColumn("start", F.col("base") + F.col("off")).drop("own_digest", "payload").join(rebuilt, ["file", "start"])
     return done.unionByName(late.withColumn("own_digest", F.col("found")).withColumn("payload", F.col("bytes") if payloads else F.lit(None).cast("binary")).select(*done.columns))
 
