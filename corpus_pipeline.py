@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, mixing and sharding.
+"""The corpus pipeline: quality rules, near-dedup, benchmark decontamination, mixing and sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
 All but the last return the columns of documents. Rows are matched with their verdicts by doc_id and text.
@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least doc_id; rows that repeat it go too."""
-    first = simhash.near_duplicates(docs).groupBy("root").agg(F.min(F.struct("id", "crc")).alias("first")).select("first.*")
+    """Of each group of near-duplicates (five-word shingles alike by 0.8) the document with the least doc_id; rows that repeat it go too."""
+    first = simhash.similar(docs).groupBy("root").agg(F.min(F.struct("id", "crc")).alias("first")).select("first.*")
     own = selected(docs, first).withColumns({"_a": F.col("doc_id"), "_b": F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")))})
     return own.dropDuplicates(["_a", "_b"]).select(*(docs[c] for c in docs.columns))
 

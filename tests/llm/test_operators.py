@@ -166,6 +166,30 @@ def test_simhash(docs, none, rows):
     assert simhash.query(none).count() == 0
 
 
+def test_near_copies_leave_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    rows, pairs = [], []
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(150):
+        w = [f"w{i}" for i in rng.integers(0, 4000, int(rng.integers(120, 400)))]
+        v = list(w)
+        for at in rng.choice(len(w), int(rng.integers(1, 8)), replace=False):
+            v[at] = f"x{rng.integers(0, 4000)}"
+        a, b = sets(w), sets(v)
+        pairs.append((k, len(a & b) / len(a | b)))
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(v))]
+    hot = [f"h{i}" for i in range(300)]
+    rows += [(5000 + k, " ".join(hot[:k] + ["z"] + hot[k + 1 :])) for k in range(300)] + [(9000, None), (9001, ""), (9002, "a b"), (9003, "A  b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    near = [k for k, j in pairs if j >= 0.8]
+    assert len(near) > 50 and sum(1000 + k not in kept for k in near) >= 0.99 * len(near)
+    assert all(1000 + k in kept for k, j in pairs if j < 0.8) and all(k in kept for k, _ in pairs)
+    assert {k for k in kept if k >= 5000} == {5000, 9000, 9002}
+
+
 def test_bit_sliced_comparison_and_splitting(monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)

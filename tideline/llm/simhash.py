@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, keyed, real_id, written
+from .kernel import U64, ints, keyed, mix, real_id, written
 
 TILE = 2048
 LARGE = 4 * TILE
@@ -229,6 +229,82 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3) -> DataF
     return prints.join(known.join(least, "root").select("fp", "root", "component"), "fp").select("id", "crc", "fp", "root", real_id("component").alias("component_id"))
 
 
+# ---------------------------------------------------------------- similarity of shingle sets
+
+#: Keys of a text, and least hashes in each: at similarity 0.8 all keys of two texts differ with probability 5e-5.
+KEYS, ROWS = 25, 5
+_DRAW = np.random.default_rng(42).integers(0, 1 << 63, (2, KEYS * ROWS), dtype=np.uint64)
+TIMES, PLUS = _DRAW[0] | U64(1), _DRAW[1]
+
+
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles; of a shorter text, of all its words. Words as in fingerprint()."""
+    words = text.lower().split()
+    k = min(shingle, len(words))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k]), 42) for i in range(len(words) - k + 1)), U64)) if words else np.zeros(0, U64)
+
+
+def keys_of(hashes: np.ndarray) -> np.ndarray:
+    """KEYS hashes, each of ROWS least values over the set under other multipliers."""
+    least = np.full(KEYS * ROWS, ALL)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * TIMES + PLUS).min(axis=0), out=least)
+    out = np.arange(KEYS, dtype=U64)
+    for column in least.reshape(KEYS, ROWS).T:
+        out = mix(out * U64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
+def similar(docs: DataFrame, least: float = 0.8, shingle: int = 5) -> DataFrame:
+    """For each row of docs: id, crc and root, which names the component of texts whose sets of shingles are alike by Jaccard `least`.
+
+    Nodes are distinct sets. A node is compared with the least and with the next smaller node of each of its keys, by its whole
+    set; so no link is false, and a group costs in proportion to its size."""
+
+    def sketch(batches):
+        for b in batches:
+            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle) for t in b.column(2)]
+            node = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), U64, len(b))
+            keys = np.concatenate([keys_of(x) for x in sets]) if sets else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * KEYS), pa.array(keys.view(np.int64)))], ["id", "crc", "node", "keys"])
+
+    rows = written(keyed(docs).mapInArrow(sketch, "id long, crc long, node long, keys array<long>"), "sketches")
+    nodes = rows.groupBy("node").agg(F.min(F.struct("id", "crc")).alias("own"), F.first("keys").alias("keys"))
+    dealt = nodes.select("node", F.explode("keys").alias("key")).repartition("key").sortWithinPartitions("key", "node")
+
+    def neighbours(batches):
+        last = first = before = None
+        for b in batches:
+            node, key = ints(b.column(0)), ints(b.column(1))
+            if not len(key):
+                continue
+            new = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            low = np.where(start >= 0, node[start], node[0] if first is None else first)
+            prior = np.concatenate([[node[0] if before is None else before], node[:-1]])
+            a, c, d = node[~new], low[~new], prior[~new]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, a])), pa.array(np.concatenate([c, d]))], ["a", "b"])
+            last, first, before = key[-1], low[-1], node[-1]
+
+    edges = written(dealt.mapInArrow(neighbours, "a long, b long").where("a != b").distinct(), "pairs")
+    ends = edges.select("a").union(edges.select("b")).distinct()
+    one = nodes.join(ends, F.col("node") == F.col("a"), "left_semi").select("node", "own.id", "own.crc")
+    texts = written(keyed(docs).join(one, ["id", "crc"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    both = edges.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
+
+    def compare(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = (shingle_set(t.as_buffer().to_pybytes(), shingle) for t in (x, y))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(common >= least * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    roots = components(both.mapInArrow(compare, "a long, b long"))
+    return rows.join(roots, "node", "left").select("id", "crc", F.coalesce("root", "node").alias("root"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     """op4: doc_id, fingerprint, component_id."""
     return near_duplicates(docs).select(real_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
