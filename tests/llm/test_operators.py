@@ -1,4 +1,5 @@
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -279,11 +280,59 @@ def test_robust_outliers(spark):
     x[:60] += 1.5
     rows = [(i, "en", f"s{i % 2}", *map(float, v)) for i, v in enumerate(x)]
     table = spark.createDataFrame(rows, "id int, lang string, source string, " + ", ".join(f"{n} double" for n in rules.NAMES))
-    d2 = np.array([r.d2 for r in rules.outliers(table).orderBy("id").collect()])
+    d2 = np.array([r.d2 for r in rules.outliers(table, table).orderBy("id").collect()])
     assert d2[:60].min() > 50 > rules.chi2_quantile(0.9999, 6) > d2[60:].max()
     assert abs(rules.chi2_quantile(0.95, 6) - 12.5916) < 1e-3
 
 
+def test_rules_count_repeats_where_hashes_collide(docs, rows):
+    """With 6 bits nearly all windows share a hash, so neighbours differ and rows are counted by their words."""
+    right = {(r.id, r.crc): r.n_repeat_words for r in rules.statistics(docs).collect()}
+    unsure = kernel.written(rules.statistics(docs, hash_bits=6), "counts").where("unsure").select("id", "crc")
+    got = {(r.id, r.crc): r.n_repeat_words for r in rules.repeated_words(docs, unsure).collect()}
+    assert len(got) > 10 and all(right[k] == n for k, n in got.items())
+
+
+def test_least_determinant_is_that_of_concentration_from_many_starts(spark):
+    """One group, in numpy: the estimate found has no larger determinant than 40 random starts reach."""
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.multivariate_normal(np.full(6, 0.5), 0.02 * np.eye(6) + 0.01, 220), rng.normal(2.0, 0.3, (60, 6))])
+    floor, d = np.diag([v**2 for v in rules.FLOORS.values()]), 6
+    scale = 0.75 / rules.chi2_cdf(rules.chi2_quantile(0.75, d), d + 2)
+
+    def settled(m, c):
+        low = np.inf
+        for _ in range(60):
+            far = np.round(np.log1p(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floor), x - m)), 3)
+            own = x[far <= np.quantile(far, 0.75)]
+            m, c = own.mean(axis=0), np.cov(own.T, bias=True) * scale
+            now = np.linalg.slogdet(c + floor)[1]
+            if now > low - 1e-9:
+                break
+            low = now
+        return min(low, now)
+
+    best = min(settled(s.mean(axis=0), np.cov(s.T) + 1e-6 * np.eye(d)) for s in (x[rng.choice(len(x), 30, replace=False)] for _ in range(40)))
+    table = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, " + ", ".join(f"{n} double" for n in rules.NAMES))
+    got, taken = rules.concentrated(table, F.broadcast, 0.75)
+    got = got.collect()[0]
+    assert got.det <= best + 0.02 and taken >= 2
+    inside = np.array([got[m] for m in rules.MU])
+    assert np.abs(inside - 0.5).max() < 0.15  # the planted cluster has no part
+
+
+def test_verdicts_of_small_groups_follow_their_language(spark):
+    """The whole verdict against numpy for a source of 3 rows: nearly the language's estimate, moved by its share."""
+    rng = np.random.default_rng(15)
+    rows = [("en", "big", *v) for v in np.abs(rng.normal(0.3, 0.05, (400, 6)))] + [("en", "small", *v) for v in np.abs(rng.normal(0.33, 0.05, (3, 6)))] + [("en", "small", *([1.4] * 6)), ("", "", *([0.3] * 6))]
+    table = spark.createDataFrame([(r[0], r[1], *map(float, r[2:])) for r in rows], "lang string, source string, " + ", ".join(f"{n} double" for n in rules.NAMES))
+    got = rules.outliers(table, table).collect()
+    limit = rules.chi2_quantile(1 - 1e-6, 6)
+    assert sum(r.d2 <= limit for r in got if r.source == "big") >= 399
+    small = sorted(r.d2 for r in got if r.source == "small")
+    assert small[2] <= limit < small[3] and [r.d2 <= limit for r in got if r.lang == ""] == [True]
+
+
 def texts_of(rng, kind, n):
     pool = {"en": "the of and to ing tion her that with", "fr": "le de et un eux que dans sur été", "de": "der die und sch ein keit ver über"}[kind].split()
     return ["".join(pool[i] + (" " if rng.random() < 0.6 else "") for i in rng.integers(0, len(pool), 60)) for _ in range(n)]
@@ -353,7 +402,7 @@ def test_mixing(spark, none):
     docs = spark.createDataFrame([*rows, (9001, None), (9002, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(i >= 120)) for i, _ in rows if i % 3], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in mixing.query(docs, labels).collect()}
-    assert len(got) == 182 and all(got[i].copies == 1 for i in range(120)) and got[9001].copies == 1
+    assert len(got) == 182 and sum(got[i].copies for i in range(120)) >= 115 and got[9001].copies == 1
     assert sum(got[i].copies for i in range(120, 180)) < 25
     members = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.2, 0.8]), (30, [0.5, 0.5])], "tokens long, p array<double>")
     rated, e = mixing.rates(members, np.array([20.0, 10.0]), rounds=400)
@@ -380,6 +429,61 @@ def test_rates_reach_targets_on_skewed_lengths(spark):
     assert np.allclose(e, [22.5, 7.5], rtol=1e-3)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_mixing_reaches_its_targets(spark):
+    """On the whole table of sf0.01: expected totals are those of a dense solver and within 1 % of targets, copies within sampling error."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows, domains = mixing.mixed(docs, labels)
+    rows = rows.collect()
+    t, p, r, c = (np.array([x[n] for x in rows], float) for n in ("tokens", "p", "rate", "copies"))
+    now = t @ p
+    goal = now * np.array([mixing.KEEP.get(d, 1.0) for d in domains])
+    y = np.zeros(len(goal))  # the dense solver: many small steps on the dual of the same problem
+    live, total = now > 0, t.sum()
+    rate = lambda y: np.where(t > 0, np.maximum(0, 1 - p @ y), 1.0)
+    for _ in range(200):
+        slope = (goal - (rate(y) * t) @ p + mixing.RIDGE * now * y) / total
+        on = t * (rate(y) > 0) / total
+        step = np.linalg.solve((p * on[:, None]).T @ p + mixing.RIDGE * np.diag(now) / total, slope)
+        value = lambda y: (t / total) @ rate(y) ** 2 / 2 + y @ goal / total + mixing.RIDGE / 2 * (y * y) @ now / total
+        y = min((y - s * step for s in 0.5 ** np.arange(12)), key=value)
+    e = (t * r) @ p
+    assert np.allclose(e, (t * rate(y)) @ p, rtol=1e-3, atol=1e-4 * now.max()) and (np.abs(e - goal) <= 0.01 * now)[live].all()
+    error = np.sqrt(((t[:, None] * p) ** 2 * (r % 1 * (1 - r % 1))[:, None]).sum(axis=0))
+    assert (np.abs((t * c) @ p - e) <= 4 * error + 1).all() and (np.abs(c - r) < 1).all()
+    few = mixing.mixed(docs, labels, targets={domains[-1]: float(now[-1] / 2)})[0].collect()
+    assert abs(sum(x.tokens * x.rate * x.p[-1] for x in few) - now[-1] / 2) <= 0.01 * now[-1]
+    with pytest.raises(ValueError, match="no such"):
+        mixing.mixed(docs, labels, targets={"q7t7": 1.0})
+
+
+CLASH = ["_id", "_crc", "_a", "_nth", "row", "id", "crc", "copies", "rate", "kept", "lang_", "tokens", "p", "words", "root", "node"]
+
+
+def test_stages_with_clashing_columns_repeats_and_no_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(16)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda: " ".join(rng.choice(vocabulary, 80))
+    rows = [(i, text(), "en", "s", None) for i in range(30)]
+    rows += [rows[3], rows[3], (40, rows[5][1], None, None, None), (None, text(), None, "s", None), (50, None, "en", "s", None), (51, "", "en", "s", None)]
+    base = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ", ".join(f"{c} string" for c in CLASH)
+    docs = spark.createDataFrame([(*r, *CLASH) for r in rows], f"{base}, {extra}").repartition(3)
+    spark.createDataFrame([(1, rows[7][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = {"quality": 34, "near_dedup": 32, "decontaminated": 35, "mix": 36}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        if name == "shard":
+            assert got.count() == 36
+        else:
+            back = got.collect()
+            assert got.columns == docs.columns and len(back) == want[name] and all([r[c] for c in CLASH] == CLASH for r in back), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -6,8 +6,10 @@ offsets, so that the cost of a word is that of a few numpy instructions and not
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 import zlib
 
 import numpy as np
@@ -33,21 +35,31 @@ def plan_bytes(df: DataFrame) -> int:
     return found if found < 1 << 50 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
+#: Where the tables of written() lie, as long as their frames are held.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a temporary one of this machine (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a temporary one if the master is this machine alone (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tideline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
+    """A new path in the shared folder, deleted when the driver ends if not before."""
     path = f"{shared_dir(spark)}/tideline/{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
     return path
 
 
@@ -55,7 +67,46 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
     path = shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later frame reads."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            where, files = _place(t.sparkSession, path)
+            files.delete(where, True)
+
+
+#: Rows of two integers that are broadcast at most: about 40 MB as a hash table.
+FEW = 500_000
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, broadcast if it has few rows, as counted."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= FEW else df
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """name, or one like it that docs does not use."""
+    used = {c.lower() for c in docs.columns}
+    while name in used:
+        name += "_"
+    return name
+
+
+def matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """docs joined (left_semi or left_anti) with a table of written() of (id, crc). Texts are shuffled only if that is too large to broadcast."""
+    i, c = free(docs, "_id"), free(docs, "_crc")
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col(i)) & (F.crc32(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(c))
+    return docs.join(few(keys.select(F.col("id").alias(i), F.col("crc").alias(c))), same, how)
+
+
+def whole_row(docs: DataFrame):
+    """All columns of docs as one struct, which no name of the operators' own can clash with."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, keyed, ints, real_id, slices, span_hash, text_buffer, word_bounds, written
+from .kernel import U64, discard, ints, keyed, real_id, slices, span_hash, text_buffer, whole_row, word_bounds, written
 
 BUCKETS, FEATURES, SAMPLE = 16, 384, 20_000
 LETTER = np.zeros(256, bool)
@@ -55,8 +55,9 @@ def shape(buf, off, tokens) -> np.ndarray:
 PARSED = "id long, crc long, tokens long, shape binary, words binary"
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """id, crc, tokens, shape (float32) and words (the distinct buckets, as two bytes each) of each row of docs."""
+def parsed(docs: DataFrame, rows: bool = False) -> DataFrame:
+    """id, crc, tokens, shape (float32) and words (the distinct buckets, as two bytes each) of each row of docs; with rows also the row itself."""
+    more = ["row"] if rows else []
 
     def run(batches):
         for b in batches:
@@ -66,10 +67,12 @@ def parsed(docs: DataFrame) -> DataFrame:
                 pair = np.unique(doc << BUCKETS | bucket)
                 ends = np.searchsorted(pair, np.arange(n + 1) << BUCKETS)
                 form = shape(buf, off, tokens).astype("<f4")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), pa.array(tokens), blobs(form, np.arange(n + 1) * form.shape[1] * 4), blobs((pair & (1 << BUCKETS) - 1).astype("<u2"), ends * 2)], ["id", "crc", "tokens", "shape", "words"])
+                made = [pa.array(tokens), blobs(form, np.arange(n + 1) * form.shape[1] * 4), blobs((pair & (1 << BUCKETS) - 1).astype("<u2"), ends * 2)]
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, n) for i in (0, 1)), *made, *(column(b, c).slice(at, n) for c in more)], ["id", "crc", "tokens", "shape", "words", *more])
                 at += n
 
-    return written(keyed(docs).mapInArrow(run, PARSED), "parsed")
+    own = keyed(docs, *([whole_row(docs)] if rows else []))
+    return written(own.mapInArrow(run, PARSED + "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in more)), "parsed")
 
 
 def blobs(values: np.ndarray, off: np.ndarray) -> pa.Array:
@@ -106,23 +109,30 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
-    """Softmax regression by accelerated gradient steps."""
+def fit(x: np.ndarray, y: np.ndarray, k: int, rounds: int = 300, ridge: float = 1e-4) -> np.ndarray:
+    """Softmax regression by accelerated gradient steps on scaled features; the last one, 1, is the intercept."""
     x = x.astype(np.float32)
+    mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 0.01)
+    mean[-1], sd[-1] = 0, 1
+    x = (x - mean) / sd
     w = np.zeros((x.shape[1], k), np.float32)
     v, goal = w.copy(), np.eye(k, dtype=np.float32)[y]
     bound = 0.5 * np.linalg.norm(x.T @ x / len(x), 2) + ridge
     for i in range(rounds):
         new = v - (x.T @ (softmax(x @ v) - goal) / len(x) + ridge * v) / bound
         v, w = new + i / (i + 3) * (new - w), new
+    w = w / sd[:, None]
+    w[-1] -= mean[:-1] @ w[:-1]
     return w
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, list[str]]:
-    """id, crc, tokens and p (array by domain) of each row of docs, and the domains' names. No labelled row: one domain, `all`."""
+def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: bool = False) -> tuple[DataFrame, list[str]]:
+    """id, crc, tokens and p (array by domain) of each row of docs, and the domains' names; with carry also row, all of its columns.
+
+    No labelled row: one domain, `all`. Labels that repeat a doc_id count once, by their largest values."""
     marked = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.concat(F.lit("q"), F.max("quality"), F.lit("t"), F.max("toxic")).alias("domain"))
-    domains = sorted(r[0] for r in marked.select("domain").distinct().limit(1000).collect())
-    rows = parsed(docs)
+    domains = sorted(r[0] for r in marked.select("domain").distinct().collect())  # pairs of label values
+    rows = parsed(docs, carry)
     known = rows.join(marked, "id")
     schema = "domain string, bucket int, n long"
 
@@ -170,9 +180,12 @@ def posteriors(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
         for b in batches:
             n, (form, off) = len(b), text_buffer(column(b, "shape"))
             p = softmax(matrix(presence(b, place), form.tobytes()) @ w) if k > 1 else np.ones((n, 1))
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("id", "crc", "tokens")), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.round(p.astype(np.float64), 9).ravel()))], ["id", "crc", "tokens", "p"])
+            own = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(np.round(p.astype(np.float64), 9).ravel()))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("id", "crc", "tokens")), own, *(column(b, c) for c in more)], ["id", "crc", "tokens", "p", *more])
 
-    return rows.mapInArrow(predict, "id long, crc long, tokens long, p array<double>"), domains or ["all"]
+    more = ["row"] if carry else []
+    kept = rows.select("id", "crc", "tokens", "shape", "words", *more)
+    return kept.mapInArrow(predict, "id long, crc long, tokens long, p array<double>" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in more)), domains or ["all"]
 
 
 #: Weight of the rates' distance from 1 against the domains' relative errors; step lengths tried in a round; and the
@@ -237,26 +250,33 @@ def rates(members: DataFrame, targets: np.ndarray, rounds: int = 60) -> tuple[Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fitted(*arrays(b), y))], [*b.schema.names, "rate"])
 
-    return members.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in members.dtypes) + ", rate double"), e * total
+    return members.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in members.dtypes) + ", rate double"), e * total
 
 
 #: Shares of each domain's tokens to be kept, by (quality, toxic): good text whole, low quality halved, toxic text a tenth.
 KEEP = {"q1t0": 1.0, "q0t0": 0.5, "q1t1": 0.1, "q0t1": 0.0}
 
 
-def mixed(docs: DataFrame, labels: DataFrame, keep: dict[str, float] = KEEP, whole: float = 0.1) -> tuple[DataFrame, list[str]]:
-    """For each row of docs: id, crc, tokens, p, rate and copies, and the domains' names.
+def mixed(docs: DataFrame, labels: DataFrame, keep: dict[str, float] = KEEP, targets: dict[str, float] | None = None, carry: bool = False) -> tuple[DataFrame, list[str]]:
+    """For each row of docs: id, crc, tokens, p, rate and copies, and the domains' names; with carry also row, all its columns as a struct.
 
-    Targets: each domain's expected tokens times keep (1 if not named). copies: the rate's whole part, and one more with
-    the probability of the rest, by a hash of the id and text; a rate within `whole` of 1 gives one copy. Null and empty
-    texts have no tokens and rate 1. An empty table gives an empty result."""
-    found, domains = posteriors(docs, labels)
+    targets: tokens by domain to be reached; a domain that is not named keeps what it has. Without targets they are each
+    domain's expected tokens times keep (1 if not named). copies: the rate's whole part, and one more with the probability
+    of the rest, by a hash of the id and text, so that expected copies are the rates. Null and empty texts have no tokens
+    and rate 1. Rows that repeat count each. An empty table gives an empty result."""
+    found, domains = posteriors(docs, labels, carry=carry)
     members = written(found, "members")
     now = members.agg(*(F.sum(F.col("tokens") * F.get("p", F.lit(i))) for i in range(len(domains)))).first()
-    targets = np.array([float(v or 0) * keep.get(d, 1.0) for d, v in zip(domains, now)])
-    rated, _ = rates(members, targets)
+    now = [float(v or 0) for v in now]
+    if targets is None:
+        goal = [v * keep.get(d, 1.0) for d, v in zip(domains, now)]
+    else:
+        if unknown := sorted(set(targets) - set(domains)):
+            raise ValueError(f"no such domains: {unknown}")
+        goal = [float(targets.get(d, v)) for d, v in zip(domains, now)]
+    rated, _ = rates(members, np.array(goal))
     chance = F.pmod(F.xxhash64("id", "crc", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return rated.withColumn("copies", F.when(F.abs(F.col("rate") - 1) <= whole, 1).otherwise(F.floor(F.col("rate") + chance)).cast("int")), domains
+    return rated.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")), domains
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
