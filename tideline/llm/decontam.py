@@ -2,11 +2,11 @@
 
 Words are runs of 0-9, a-z and non-ASCII characters after A-Z are lowered. A window is `span` consecutive words of a
 benchmark item; an item of fewer words is one window. For each length L that windows have, texts are winnowed with
-k-grams of k = min(5, L) words: of each L - k + 1 successive k-gram hashes the least is kept. Both sides keep the same
-hash of any shared run of L words, so every shared window shares a fingerprint. Fingerprints of documents are joined
-with those of the benchmark; documents with a match are read again, and their windows are joined with the benchmark's
-by hash and compared word by word (the extension of the hit). Windows and fingerprints of the benchmark are broadcast
-if they are few, else shuffled; so is the list of documents that match.
+k-grams of k = min(5, L) words: of each L - k + 1 successive k-gram hashes the least is kept, with its place. Both sides
+keep the same hash of any shared run of L words, so every shared window shares a fingerprint. Texts are cut in words once:
+one scan gives their numbers of words and the fingerprints that the benchmark has too. Each such hit is extended to the
+left and right, as far as the windows that have its fingerprint reach, and compared with them word by word.
+Fingerprints of the benchmark are broadcast if they are few, else shuffled; so is the list of documents with hits.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import keyed, real_id, written
+from .kernel import few, keyed, real_id, written
 
 #: Fixed value: what separates words, after lowering; and before.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RUN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Rows that a side has at most to be broadcast.
-BROADCAST_ROWS = 200_000
+#: Benchmark windows (about 200 bytes each) up to which they are broadcast.
+FEW_WINDOWS = 100_000
+#: Bits of a fingerprint that carry the place, modulo; far wider than a window.
+PLACE = 16
+LOW = (1 << PLACE) - 1
 
 
 def words(text: Column) -> Column:
@@ -30,35 +32,57 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, GAP), lambda w: w != "")
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def grams(hashes: str, size: int, k: int):
+    """The hash of the k words from place i on, in windows of size words; its low bits are free."""
+    return lambda i: F.xxhash64(F.lit(size), *(F.get(hashes, i + j) for j in range(k))).bitwiseAND(F.lit(~LOW))
 
 
-def gram(size: int, k: int):
-    return lambda i: F.xxhash64(F.lit(size), *(F.get("h", i + j) for j in range(k)))
+def winnowed(df: DataFrame, lengths: list[int]) -> tuple[DataFrame, list[str]]:
+    """df (with the column words) and for each length a column of the packed least k-gram hashes: hash bits, and the place modulo 2**PLACE.
 
-
-def places(size: int) -> Column:
-    """All places (from 1) of a text's runs of so many words, with the runs."""
-    place = lambda i: F.struct(i.alias("pos"), F.slice("words", i, size).alias("window"))
-    return F.when(F.size("words") >= size, F.transform(F.sequence(F.lit(1), F.size("words") - size + 1), place)).otherwise(F.array().cast("array<struct<pos:int,window:array<string>>>"))
-
-
-def with_fingerprints(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """keep and fps (to be read by explode_outer: of explode the optimizer infers a filter and pushes it, with all of this
-    inlined, below the projections): for each length the distinct least k-gram hashes. df has the column words.
-
-    Windows at the end of a text are cut short and may add hashes; none is ever missed."""
-    df = df.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    Runs at the end of a text are cut short and may add hashes; none is ever missed."""
+    df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     for size in lengths:
         k = min(5, size)
-        df = df.withColumn(f"m{size}", F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - k), gram(size, k))).otherwise(F.array().cast("array<bigint>")))
+        gram = grams("h", size, k)
+        packed = lambda i: gram(i).bitwiseOR(i.cast("long").bitwiseAND(F.lit(LOW)))  # noqa: B023, E731
+        df = df.withColumn(f"m{size}", F.when(F.size("h") >= size, F.transform(F.sequence(F.lit(0), F.size("h") - k), packed)).otherwise(F.array().cast("array<bigint>")))
         have, want = 1, size - k + 1
         while have < want:
             step = min(have, want - have)
             df = df.withColumn(f"m{size}", F.zip_with(f"m{size}", F.slice(f"m{size}", step + 1, F.size("h")), lambda a, b: F.least(a, b)))
             have += step
-    return df.select(*keep, F.array_distinct(F.concat(*(f"m{size}" for size in lengths))).alias("fps"))
+    return df, [f"m{size}" for size in lengths]
+
+
+def seeds(df: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
+    """keep and s: structs of fp and pos (a word's place) of all fingerprints, each once; the first, of every text, has pos -1 and no fp."""
+    df, names = winnowed(df, lengths)
+
+    def placed(name: str):
+        def one(x, i):
+            pos = i + F.pmod(x.bitwiseAND(F.lit(LOW)) - i, F.lit(LOW + 1))
+            return F.when((i == 0) | (x != F.get(name, i - 1)), F.struct(x.bitwiseAND(F.lit(~LOW)).alias("fp"), pos.cast("int").alias("pos")))
+
+        return F.filter(F.transform(name, one), lambda s: s.isNotNull())
+
+    none = F.array(F.struct(F.lit(None).cast("long").alias("fp"), F.lit(-1).alias("pos")))
+    return df.select(*keep, F.concat(none, *map(placed, names)).alias("s"))
+
+
+def of_windows(windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """fp, off, size, h and window: each window's least fingerprint at all offsets that have it, as a text may keep any of equal ones."""
+    parts = []
+    for size in lengths:
+        k = min(5, size)
+        own = windows.where(F.size("window") == size).withColumn("g", F.transform("window", lambda w: F.xxhash64(w)))
+        own = own.withColumn("g", F.transform(F.sequence(F.lit(0), F.lit(size - k)), grams("g", size, k)))
+        at = F.filter(F.transform("g", lambda x, i: F.when(x == F.array_min("g"), F.struct(x.alias("fp"), i.alias("off")))), lambda s: s.isNotNull())
+        parts.append(own.select(F.explode_outer(at).alias("s"), F.lit(size).alias("size"), "h", "window").select("s.fp", "s.off", "size", "h", "window"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> DataFrame:
@@ -68,23 +92,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> Data
     Null and empty texts have no words and no hits; an item without words has no window; an item without id counts as the
     item of the empty string. An empty benchmark hits nothing. Rows that repeat get equal results."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.coalesce("text", F.lit(""))).alias("words")).where(F.size("words") > 0)
-    spans = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - span + 1, F.lit(1))), lambda i: F.slice("words", i, span))).alias("window"), F.size("words").alias("n"))
-    windows = written(spans.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"), F.least(F.first("n"), F.lit(span)).alias("size")).withColumn("h", F.xxhash64("window")), "windows")
-    n_windows = windows.count()
-    lengths = sorted(r[0] for r in windows.select(F.size("window")).distinct().collect())
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - span + 1, F.lit(1))), lambda i: F.slice("words", i, span))
+    spans = written(items.select("item", F.explode(each).alias("window")).distinct().withColumn("h", F.xxhash64("window")), "spans")
+    lengths = sorted(r[0] for r in spans.select(F.size("window")).distinct().collect())  # span numbers at most
     rows = keyed(docs)
-    counted = rows.select("id", "crc", F.regexp_count("text", F.lit(RUN)).cast("long").alias("n_words"))
+    cut = rows.select("id", "crc", words(F.col("text")).alias("words"))
     if not lengths:
-        return counted.select("*", F.lit(None).cast("array<struct<pos:int,size:int>>").alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    # winnowed benchmark windows: each window alone, so that its fingerprint is the least of just its k-grams
-    prints = with_fingerprints(windows.select(F.col("window").alias("words")), lengths).select(F.explode_outer("fps").alias("fp")).distinct()
-    prints = written(prints, "prints")
-    seen = with_fingerprints(rows.select("id", "crc", words(F.col("text")).alias("words")), lengths, "id", "crc").select("id", "crc", F.explode_outer("fps").alias("fp"))
-    matched = written(seen.join(few(prints, prints.count()), "fp", "left_semi").select("id", "crc").distinct(), "matched")
-    again = rows.join(few(matched, matched.count()), ["id", "crc"], "left_semi").select("id", "crc", words(F.col("text")).alias("words"))
-    every = F.explode_outer(F.concat(*map(places, lengths))).alias("p")
-    found = again.select("id", "crc", every).select("id", "crc", "p.pos", "p.window", F.xxhash64("p.window").alias("h")).join(few(windows, n_windows), ["h", "window"])
-    hits = found.groupBy("id", "crc").agg(F.sort_array(F.collect_set(F.struct("pos", "size"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        return cut.select("id", "crc", F.size("words").cast("long").alias("n_words"), F.lit(None).cast("array<struct<pos:int,size:int>>").alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    prints = written(of_windows(spans.select("window", "h").distinct(), lengths), "prints")
+    n_prints = prints.count()
+    near = (lambda df: F.broadcast(df)) if n_prints <= FEW_WINDOWS else (lambda df: df)
+    # the one scan of all texts: a row for each, and one for each hit. explode_outer: of explode the optimizer infers a
+    # filter and pushes it, with all of this inlined, below the projections
+    own = seeds(cut, lengths, "id", "crc", "words").select("id", "crc", F.size("words").cast("long").alias("n_words"), "s")
+    own = own.select("id", "crc", "n_words", F.explode_outer("s").alias("s")).select("id", "crc", "n_words", "s.fp", "s.pos")
+    known = near(prints.select("fp").distinct().withColumn("hit", F.lit(True)))
+    scan = written(own.join(known, "fp", "left").where(F.col("hit") | (F.col("pos") < 0)).select("id", "crc", "n_words", "fp", "pos"), "scan")
+    counted = scan.where("pos < 0").select("id", "crc", "n_words")
+    places = scan.where("pos >= 0").groupBy("id", "crc").agg(F.sort_array(F.collect_set(F.struct("pos", "fp"))).alias("places"))
+    ids = written(places.select("id", "crc"), "ids")
+    # the words around each hit, as far as a window with its fingerprint can reach
+    lead = max(n - min(5, n) for n in lengths)
+    around = lambda p: F.struct(p["fp"].alias("fp"), p["pos"].alias("pos"), F.greatest(p["pos"] - lead, F.lit(0)).alias("first"), F.slice("words", F.greatest(p["pos"] - lead, F.lit(0)) + 1, lead + span).alias("near"))
+    again = cut.join(few(ids), ["id", "crc"], "left_semi").join(places, ["id", "crc"]).select("id", "crc", F.explode_outer(F.transform("places", around)).alias("c")).select("id", "crc", "c.*")
+    begin = F.col("pos") - F.col("off")
+    extended = again.join(near(prints), "fp").where((begin >= 0) & (F.slice("near", F.greatest(begin - F.col("first"), F.lit(0)) + 1, F.col("size")) == F.col("window")))
+    found = written(extended.select("id", "crc", (begin + 1).alias("pos"), "size", "h", "window").distinct(), "found")
+    hits = found.groupBy("id", "crc").agg(F.sort_array(F.collect_set(F.struct("pos", "size"))).alias("hits"))
+    of = found.select("id", "crc", "h", "window").distinct().join(near(spans), ["h", "window"]).groupBy("id", "crc").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = hits.join(of, ["id", "crc"])
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("to"))
     step = lambda a, h: F.struct((a["n"] + F.greatest(F.lit(0), h["pos"] + h["size"] - F.greatest(a["to"], h["pos"]))).cast("long").alias("n"), F.greatest(a["to"], h["pos"] + h["size"]).alias("to"))
     hits = hits.withColumn("n_hit", F.aggregate("hits", start, step, lambda a: a["n"]))
