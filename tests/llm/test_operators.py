@@ -350,24 +350,43 @@ def test_language(spark, none):
     assert {r.lang_pred for r in langid.query(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def test_cross_parsing_is_greedy():
+def phrases_by_hand(text, train):
+    i = count = 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and text[i : j + 1] in train:
+            j += 1
+        count, i = count + 1, j
+    return count
+
+
+@pytest.mark.parametrize("piece", [1, 3, 40, 1024])
+def test_cross_parsing_is_greedy_over_whole_texts(piece):
     rng = np.random.default_rng(7)
-    train = {k: bytes(rng.choice(list(b"abcd "), 300).astype(np.uint8)) for k in "xy"}
+    train = {"x": bytes(rng.choice(list(b"abcd "), 300).astype(np.uint8)), "y": b"abcd " * 60, "z": bytes(rng.choice(list(b"ab"), 200).astype(np.uint8))}
     model = langid.Model(train)
-    for n in (0, 1, 50, 2500):
-        t = bytes(rng.choice(list(b"abcde"), n).astype(np.uint8))
-        want = []
-        for k in "xy":
-            count = 0
-            for p in range(0, n, langid.PIECE):
-                i, piece = 0, t[p : p + langid.PIECE]
-                while i < len(piece):
-                    j = i + 1
-                    while j < len(piece) and piece[i : j + 1] in train[k]:
-                        j += 1
-                    count, i = count + 1, j
-            want.append(count)
-        assert model.phrases(np.frombuffer(t, np.uint8), np.array([0, n]))[0].tolist() == want
+    texts = [bytes(rng.choice(list(b"abcde"), n).astype(np.uint8)) for n in (0, 1, 50, 2500)] + [b"abcd " * 500, b"a" * 900, b"e" * 70, train["x"] * 4]
+    got = model.phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), piece)
+    assert got.tolist() == [[phrases_by_hand(t, train[k]) for k in "xyz"] for t in texts]
+
+
+def test_language_of_clashing_columns_repeats_and_symbols(spark):
+    rng = np.random.default_rng(17)
+    rows = [(i, t, k, "id", "crc", 1) for i, (t, k) in enumerate((t, k) for k in ("en", "de") for t in texts_of(rng, k, 40))]
+    rows += [rows[3], rows[3], (900, "² ½ Ⅷ 7", "en", "id", "crc", 1), (901, "ª", "en", "id", "crc", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, id string, crc string, score int")
+    got = langid.query(docs).collect()
+    assert len(got) == len(rows) and sum(r.doc_id == 3 for r in got) == 3 and len({(r.lang_pred, r.score) for r in got if r.doc_id == 3}) == 1
+    assert {r.doc_id: r.lang_pred for r in got}[900] == "und" != {r.doc_id: r.lang_pred for r in got}[901]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = langid.query(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred != 'und'")
+    assert found.count() > 100 and found.where("lang = lang_pred").count() >= 0.98 * found.count()
+    found = linecrf.query(docs, labels).where("held_out").join(labels, "doc_id")
+    assert found.count() > 40 and found.where("predicted = quality").count() >= 0.97 * found.count()
 
 
 def test_line_quality(spark, none):
@@ -381,6 +400,9 @@ def test_line_quality(spark, none):
     assert all(got[i].predicted == int(i < 150) for i, _ in rows) and got[9001].score == got[9002].score and 0 <= got[9001].score <= 1
     assert linecrf.query(none, labels).count() == 0
     assert {r.score for r in linecrf.query(docs, labels.limit(0)).collect()} == {0.5}
+    odd = docs.union(docs.where("doc_id = 5")).withColumns({"score": F.lit("x"), "quality": F.lit(7), "id": F.lit("y")})
+    again = linecrf.query(odd, labels.union(labels)).collect()
+    assert len(again) == len(rows) + 4 and all(abs(got[r.doc_id].score - r.score) < 1e-9 for r in again if r.doc_id is not None)
 
 
 def test_marginals_are_the_chains():

@@ -1,26 +1,33 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton is built of labelled text, at most CHARS bytes of it. A text is parsed against each
-automaton into the longest substrings that occur in the language's text; the language that needs the fewest phrases,
-normalised by the logarithm of its text's length, wins. Texts are parsed in pieces of PIECE bytes, a new phrase at the
-start of each, so that all pieces of a batch and all languages advance together by one table lookup a byte.
+automaton, from its start to its end, into the longest substrings that occur in the language's text; the language that
+needs the fewest phrases, each weighed by the logarithm of the language's sample, wins.
+
+All texts of a batch and all languages advance together, one table lookup a byte, in pieces of PIECE bytes. A piece is
+first parsed as if a phrase began with it. As a greedy parse depends only on where a phrase begins, the parse of the piece
+before is then carried on into it until one of its phrases begins where one of the piece's own does; from there on both
+are the same. Where that does not happen within a piece, the text is parsed again in one run. So counts are those of the
+whole text, whatever PIECE is.
+
+Bounds of the sample: CHARS bytes a language, or fewer where so many languages are learned that their tables would exceed
+MODEL_BYTES; whole distinct texts of up to PART bytes in the order of a hash, then longer ones, of which the last is cut.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernel import keyed, real_id, slices, text_buffer
 
 CHARS, PIECE = 32_000, 1024
-#: Bytes of one text that the sample of a language takes at most.
-PART = 2_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Bytes of texts that the sample of a language takes first; bytes of all languages' tables.
+PART, MODEL_BYTES = 2_000, 400_000_000
+LETTER = regex.compile(r"\p{L}")
 
 
 def folded() -> np.ndarray:
@@ -89,34 +96,74 @@ class Model:
         self.root = np.where(root < 0, len(table) - 1, root) * self.width
         self.bits = np.log2(np.maximum(2, [len(texts[n]) for n in self.names]))
 
-    def phrases(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def phrases(self, buf: np.ndarray, off: np.ndarray, piece: int | None = None) -> np.ndarray:
         """By text and language the number of phrases."""
+        piece = piece or PIECE
         k, n = len(self.names), np.diff(off)
-        pieces = -(-n // PIECE)
+        pieces = -(-n // piece)
         doc = np.repeat(np.arange(len(n)), pieces)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start = off[doc] + nth * PIECE
-        size = np.minimum(PIECE, off[doc + 1] - start)
-        order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
-        live = np.searchsorted(-size, -np.arange(PIECE), "left")  # pieces longer than t
-        state = np.repeat(self.base[:, None], len(doc), axis=1)
-        count = np.zeros((k, len(doc)), np.int32)
-        count[:, size > 0] = 1
+        start = off[doc] + nth * piece
+        size = np.minimum(piece, off[doc + 1] - start)
         symbols = self.symbol[buf]
         langs = np.arange(k)[:, None]
-        for t in range(int(size.max(initial=0))):
+        order = np.argsort(-size, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        begin, length = start[order], size[order]
+        live = np.searchsorted(-length, -np.arange(piece), "left")  # pieces longer than t
+        state = np.repeat(self.base[:, None], len(doc), axis=1)
+        count = np.zeros((k, len(doc)), np.int64)
+        mark = np.zeros((k, len(buf)), bool)  # where phrases begin
+        for t in range(int(length.max(initial=0))):
             m = live[t]
-            c = symbols[start[:m] + t]
+            at = begin[:m] + t
+            c = symbols[at]
             to = self.table[state[:, :m] + c]
-            end = to < 0
-            if t:
-                count[:, :m] += end
-            state[:, :m] = np.where(end, self.root[langs, c], to)
+            end = to < 0 if t else np.ones((k, m), bool)
+            mark[:, at] = end
+            count[:, :m] += end
+            state[:, :m] = np.where(to < 0, self.root[langs, c], to)
         out = np.zeros((len(n), k), np.int64)
         np.add.at(out, doc[order], count.T)
+        # carry each piece's parse on into the next one: lanes of a language and a piece
+        next_ = np.flatnonzero(nth > 0)
+        lang, lane = np.repeat(np.arange(k), len(next_)), np.tile(next_, k)
+        now = state[lang, rank[lane - 1]]
+        more = np.zeros(len(lane), np.int64)  # phrases of the carried parse less those of the piece's own
+        alone, t = [], 0
+        while len(lane):
+            over = t >= size[lane]
+            if over.any():  # no common place: the whole text in one run
+                alone.append(np.stack([doc[lane[over]], lang[over]]))
+                lang, lane, now, more = (x[~over] for x in (lang, lane, now, more))
+                if not len(lane):
+                    break
+            at = start[lane] + t
+            c = symbols[at]
+            to = self.table[now + c]
+            end, own = to < 0, mark[lang, at]
+            more += end.astype(np.int64) - own
+            met = end & own
+            np.add.at(out, (doc[lane[met]], lang[met]), more[met])
+            now = np.where(end, self.root[lang, c], to)
+            lang, lane, now, more = (x[~met] for x in (lang, lane, now, more))
+            t += 1
+        for d, j in set(zip(*np.concatenate(alone, axis=1).tolist())) if alone else ():
+            out[d, j] = self.run(symbols[off[d] : off[d + 1]], j)
         return out
 
+    def run(self, symbols: np.ndarray, j: int) -> int:
+        """The number of phrases of one text against language j."""
+        table, root, state, count = self.table, self.root[j], int(self.base[j]), 1
+        for i, c in enumerate(symbols.tolist()):
+            to = int(table[state + c])
+            if to < 0:
+                count += i > 0
+                to = int(root[c])
+            state = to
+        return count
+
     def predict(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the best language and its score: the share of 2**(-bits / 4) among all languages."""
         bits = self.phrases(buf, off) * self.bits
@@ -125,39 +172,40 @@ class Model:
 
 
 def learn(docs: DataFrame, chars: int = CHARS) -> Model | None:
-    """Of the labelled rows with the least hashes of their ids, by language, up to chars bytes, PART of a text at most."""
+    """Of the labelled rows outside the held-out fifth, by language, distinct texts up to chars bytes (see the bounds above)."""
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(held != 0)
-    order = F.struct(F.xxhash64("doc_id").alias("k"), F.substring("text", 1, PART).alias("part"))
-    rows = 4 * chars // PART
-    picked = _least(known, order, rows)
-    texts: dict[str, bytes] = {}
-    for lang, parts in picked.collect():  # languages by rows: a bounded sample
-        flat = b"\n".join(p.part.encode() for p in sorted(parts, key=lambda p: (p.k, p.part)))
-        if flat:
-            texts[lang] = flat[:chars]
-    return Model(texts) if texts else None
-
-
-def _least(known: DataFrame, order, rows: int) -> DataFrame:
-    """lang and the structs of its rows with the least hashes."""
-    from pyspark.sql import Window
-
-    first = known.select("lang", F.xxhash64("doc_id").alias("k"), "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))).where(F.col("n") <= rows).select("lang", "doc_id")
-    return known.join(F.broadcast(first), ["lang", "doc_id"], "left_semi").select("lang", order.alias("o")).groupBy("lang").agg(F.collect_list("o").alias("o"))
+    slim = known.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("id"), F.crc32(F.col("text").cast("string")).alias("crc"), F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    distinct = slim.where("n > 0").groupBy("lang", "h", "n").agg(F.min(F.struct("id", "crc")).alias("o")).select("lang", "h", "n", "o.*")
+    own = Window.partitionBy("lang").orderBy(F.col("n") > PART, "h", "id")
+    first = distinct.withColumn("r", F.row_number().over(own)).where(F.col("r") <= chars // 16)  # a bound of rows, limited before the shuffle
+    before = F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    first = first.withColumn("b", F.coalesce(before, F.lit(0))).where(F.col("b") < chars).select("lang", "id", "crc", "b")
+    texts = keyed(docs).join(F.broadcast(first), ["id", "crc"]).select("lang", "b", F.expr(f"substring(cast(text AS binary), 1, {int(chars)})").alias("t")).dropDuplicates(["lang", "b"])
+    parts: dict[str, list] = {}
+    for lang, b, t in texts.collect():  # languages by chars bytes, and what the last texts have beyond
+        parts.setdefault(lang, []).append((b, bytes(t)))
+    if not parts:
+        return None
+    fold = folded()
+    width = len(np.unique(np.concatenate([fold[np.frombuffer(t, np.uint8)] for p in parts.values() for _, t in p]))) + 2
+    most = min(chars, max(1, MODEL_BYTES // (8 * width * len(parts))))
+    return Model({lang: b"\n".join(t for _, t in sorted(p))[:most] for lang, p in parts.items()})
 
 
 def identified(docs: DataFrame, chars: int = CHARS) -> DataFrame:
     """For each row of docs: id, crc, lang_pred and score.
 
-    `und` with score 0 if the text is null or has no letter, or if no row is labelled."""
+    `und` with score 0 if the text is null or has no letter, or if no row is labelled. Of languages that need equal bits the
+    first by name wins. Rows that repeat get equal results; an empty table gives an empty result."""
     model = learn(docs, chars)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = sent.value
         for b in batches:
-            for part in slices(b, "text"):
+            # marks of phrases take a byte for each language and byte of text
+            for part in slices(b, "text", max(1 << 18, (16 << 20) // max(4, len(model.names) if model else 4))):
                 buf, off = text_buffer(part.column(2))
                 letter = np.fromiter((LETTER.search(t) is not None for t in part.column(2).to_pylist()), bool, len(part))
                 best, score = model.predict(buf, off) if model else (np.zeros(len(part), int), np.zeros(len(part)))

@@ -2,9 +2,9 @@
 
 Each line is good or bad. Features: shares of kinds of bytes, word lengths, words that repeat their predecessors, lines
 that repeat in the text, and the same of the line before and after it. Lines take the label of their document for
-learning; the sample is bounded: DOCS labelled rows with the least hashes of their ids, of MOST_BYTES bytes at most.
-Length-weighted forward-backward marginals make up the document's share of good text, which a logistic curve fitted on
-the same sample turns into a score. All lines of all texts of a batch advance together.
+learning; the sample is bounded: DOCS labelled rows with the least hashes of their ids, of texts of MOST_BYTES bytes at
+most; a doc_id counts once. Length-weighted forward-backward marginals make up the document's share of good text, and a
+logistic curve of that alone, fitted on the same sample, turns it into a score. All lines of all texts of a batch advance together.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import keyed, real_id, slices, span_hash, text_buffer, word_bounds
+from .kernel import few, keyed, real_id, slices, span_hash, text_buffer, word_bounds
 
 DOCS, MOST_BYTES = 3_000, 32_768
 #: Kinds of bytes of which each line's share is a feature.
@@ -118,27 +118,25 @@ class Model:
                 v[i] = 0.99 * v[i] + 0.01 * g * g
                 param += 0.1 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.99**t)) + 1e-8)
             np.clip(trans, -1.5, 1.5, out=trans)  # lines of one document share its label: without a bound the chain would never change
-        self.w, self.trans, self.curve = w, trans, np.array([0.0, 1.0, 1.0])
-        z = self.share(x, own, size, ready=True)
-        z = np.stack([np.ones(k), *z], axis=1)
-        c = np.zeros(3)
+        self.w, self.trans = w, trans
+        z = np.stack([np.ones(k), self.share(x, own, size, ready=True)], axis=1)
+        c = np.zeros(2)
         for _ in range(50):  # Newton steps of a logistic regression with a small ridge
             q = 1 / (1 + np.exp(-np.clip(z @ c, -30, 30)))
-            c += np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 0.05 * np.eye(3), z.T @ (y - q) - 0.05 * c)
+            c += np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + 0.05 * np.eye(2), z.T @ (y - q) - 0.05 * c)
         self.curve = c
 
-    def share(self, x, own, size, ready: bool = False):
-        """By text: the length-weighted mean marginal, as log odds, and the length-weighted mean of the lines' own log odds."""
-        odds = (x if ready else (x - self.mean) / self.sd) @ self.w
-        p = marginals(odds, own, self.trans)
+    def share(self, x, own, size, ready: bool = False) -> np.ndarray:
+        """By text the length-weighted mean marginal of its lines, as log odds; 0 without a line."""
+        p = marginals((x if ready else (x - self.mean) / self.sd) @ self.w, own, self.trans)
         total = lambda v: (lambda t: t[own[1:]] - t[own[:-1]])(np.concatenate([[0], np.cumsum(v)]))
         n = np.maximum(total(size), 1e-9)
         mean = np.clip(np.where(n > 1e-6, total(size * p) / n, 0.5), 1e-4, 1 - 1e-4)
-        return np.log(mean / (1 - mean)), np.clip(total(size * odds) / n, -20, 20)
+        return np.log(mean / (1 - mean))
 
     def score(self, buf, off):
         x, own, size = features(buf, off)
-        return 1 / (1 + np.exp(-np.clip(np.stack([np.ones(len(off) - 1), *self.share(x, own, size)], axis=1) @ self.curve, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * self.share(x, own, size), -30, 30)))
 
 
 def held_out(column):
@@ -148,8 +146,10 @@ def held_out(column):
 def learn(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> Model | None:
     """Of labelled rows outside the held-out fifth; None if they do not have both labels."""
     marked = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("quality"))
-    chosen = marked.orderBy(F.xxhash64("id"), "id").limit(most)
-    rows = keyed(docs).join(F.broadcast(chosen), "id").where(F.octet_length("text") <= MOST_BYTES).select("id", "crc", "quality", "text")
+    rows = keyed(docs)
+    fits = rows.select("id", "crc", F.octet_length("text").alias("n")).where(F.col("n") <= MOST_BYTES).join(few(marked), "id")
+    chosen = fits.groupBy("id").agg(F.min("crc").alias("crc"), F.max("quality").alias("quality")).orderBy(F.xxhash64("id"), "id").limit(most)
+    rows = rows.join(F.broadcast(chosen), ["id", "crc"]).select("id", "crc", "quality", "text").dropDuplicates(["id", "crc"])
 
     def run(batches):
         for b in batches:
@@ -168,7 +168,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = DOCS) -> Model | None:
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """For each row of docs: id, crc and score, the probability of label 1.
 
-    Null and empty texts have no line: their share of good text is one half. Without labels of both kinds all scores are 0.5."""
+    Null and empty texts have no line: their share of good text is one half. Without labels of both kinds all scores are 0.5.
+    Rows that repeat get equal scores; labels that repeat a doc_id count once, by the largest; an empty table gives an empty
+    result."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches):
