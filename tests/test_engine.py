@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import tideline
+
 from tideline.functions import dsp, labels
 from tideline.operators import loaders, sampling, signals, split, tensor
 from tideline.plans import catalog
@@ -178,8 +180,159 @@ def test_staging(spark, tmp_path):
     (src / "a.txt").write_text("a" * 100)
     assert staging.create_zip(str(tmp_path / "src"), str(tmp_path / "x.zip")) and zipfile.ZipFile(tmp_path / "x.zip").namelist() == ["deep/a.txt"]
     assert staging.extract_zip(str(tmp_path / "x.zip"), str(tmp_path / "out")) and staging.total_bytes(tmp_path / "out") == 100
+    assert staging.extract_zip(str(tmp_path / "none.zip"), str(tmp_path / "out"))  # it is there
     (tmp_path / "bad.zip").write_bytes(b"no")
     assert not staging.extract_zip(str(tmp_path / "bad.zip"), str(tmp_path / "out"), replace=True) and staging.total_bytes(tmp_path / "out") == 100
     assert staging.safe_copy(str(tmp_path / "out"), str(tmp_path / "copy")) and staging.total_bytes(tmp_path / "copy") == 100
     ranges = staging.byte_ranges(spark, 1003, 4).orderBy("part").collect()
     assert ranges[0].first == 0 and ranges[-1].last == 1002 and all(a.last + 1 == b.first for a, b in zip(ranges, ranges[1:]))
+
+
+def test_blocks_filter_like_the_recursion():
+    x = np.random.default_rng(2).normal(size=(4, 5000))
+    for q in dsp.sections(*dsp.lowpass("ellip", 8, 0.25)):
+        b, a = q[:3], np.array([1.0, *q[3:]])
+        state = np.random.default_rng(3).normal(size=(2, 4))
+        want, _ = dsp.recursion(b, a, x, np.ascontiguousarray(state.T))
+        assert np.allclose(dsp.lfilter(b, a, x, state), want, atol=1e-9)
+    whole = dsp.AccelerometerFilter()(x)
+    assert np.allclose(whole[2], dsp.AccelerometerFilter()(x[2])) and np.isfinite(whole).all()
+
+
+def test_many_series_take_little_more_than_one():
+    import time
+
+    x = np.random.default_rng(4).normal(size=(64, 50_000))
+    f = dsp.AccelerometerFilter()
+
+    def took(rows):
+        began = time.perf_counter()
+        f(rows)
+        return time.perf_counter() - began
+
+    took(x[:1])
+    one, all_ = min(took(x[:1]) for _ in range(2)), took(x)
+    assert all_ < 40 * one and all_ < 10
+
+
+def test_close_edges_by_rule(spark):
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        e = np.sort(rng.choice(2000, 80, replace=False))
+        least = max(1, round(0.7 * float(np.median(np.diff(e)))))
+        want, last = [], None
+        for v in e.tolist()[::-1]:
+            if last is None or last - v >= least:
+                want.append(v)
+                last = v
+        assert dsp.apart(e, 0.7).tolist() == want[::-1]
+    rows = spark.createDataFrame([(f, int(i)) for f in ("a", "b") for i in e] + [("c", 7)], "file string, i int")
+    got = signals.close_edges_removed(rows).collect()
+    assert sorted(r.i for r in got if r.file == "a") == want[::-1] and [r.i for r in got if r.file == "c"] == [7]
+
+
+def test_filter_store_keeps_errors_and_settings(spark, tmp_path):
+    rows = [(f"normal/{k}", f"{k}.csv", "normal", "", 600 + k, n, *([[float(v) for v in np.sin(np.arange(n) / (3 + k))]] * 8)) for k, n in enumerate((400, 400, 300, 10))]
+    schema = "file_path string, original_filename string, fault_type string, fault_severity string, rpm int, n_samples int, " + ", ".join(f"`{s}` array<float>" for s in labels.SENSORS)
+    recordings.write_store(spark.createDataFrame(rows, schema), str(tmp_path / "a"))
+    accel, tacho = dsp.AccelerometerFilter(), dsp.TachometerProcessor()
+    failed = signals.filter_store(spark, str(tmp_path / "a"), str(tmp_path / "b"), {"Tachometer": tacho, **{s: accel for s in labels.ACCELEROMETERS}}, 5)
+    assert [(r.file_path, "Tachometer: ValueError" in r.error) for r in failed.collect()] == [("normal/3", True)]
+    back = recordings.read_store(spark, str(tmp_path / "b/recordings")).orderBy("file_path").collect()
+    assert [r.n_samples for r in back] == [80, 80, 60] and all(r.fs == 10_000 for r in back)
+    x = np.array(rows[1][6], np.float32).astype(float)
+    assert np.allclose(back[1]["UH Axial Acc"], accel(x)[::5]) and np.allclose(back[1]["Tachometer"], tacho(x)[::5]) and np.allclose(back[1]["Microphone"], x[::5])
+    said = {r.name: r.value for r in spark.read.parquet(str(tmp_path / "b/_attributes")).collect()}
+    assert said["downsample_factor"] == "5" and said["filter.Tachometer"] == "TachometerProcessor"
+
+
+def test_ingest_parses_once_in_half_precision(spark, tmp_path):
+    (tmp_path / "raw/normal").mkdir(parents=True)
+    x = np.random.default_rng(6).normal(size=(50, 8))
+    np.savetxt(tmp_path / "raw/normal/12.5.csv", x, delimiter=",")
+    (tmp_path / "raw/normal/bad.csv").write_text("1,2\n3,x\n")
+    errors = tideline.ingest(spark, str(tmp_path / "raw"), str(tmp_path / "store"))
+    assert [r.rel for r in errors.collect()] == ["normal/bad.csv"] and not (tmp_path / "store_parsed").exists()
+    row = tideline.read_store(spark, str(tmp_path / "store")).collect()
+    assert len(row) == 1 and np.array_equal(row[0]["Microphone"], x[:, 7].astype(np.float16).astype(np.float32))
+
+
+def test_feature_loaders(spark, tmp_path):
+    w = tensor.windows(small(spark), 4, 3)
+    stored = loaders.feature_extraction_pipeline(w, str(tmp_path / "f"), ["x"], names=["min", "max"])
+    codes = {"c0": 0, "c1": 1}
+    got = list(loaders.get_tensorflow_featureset(stored, codes, 4))
+    assert [len(y) for _, y in got] == [4, 4, 4, 4, 2] and got[0][0].shape == (4, 2) and got[0][1].dtype == np.int32
+    want = w.orderBy("flat_idx").collect()
+    assert np.allclose(np.concatenate([x for x, _ in got])[:, 0], [min(r.x) for r in want])
+    x = list(loaders.get_pytorch_feature_loader(stored, codes, 4, shuffle=True, with_meta=True, valid_folds=[1], valid_files=[2, 9]))
+    assert sum(len(b[1]) for b in x) == 6 and x[0][2][0][0] == "s" and set(np.concatenate([b[2][1] for b in x])) == {2.0, 9.0}
+    own = loaders.feature_extraction_pipeline(w, str(tmp_path / "g"), ["x"], lambda v: v.mean(axis=1), 4)
+    assert next(iter(loaders.get_pytorch_feature_loader(own, codes, 32, shuffle=False)))[0].shape == (18, 1)
+    assert [len(y) for _, y in loaders.get_tensorflow_dataset(w, codes, ["x"], 8, valid_files=[5])] == [6]
+    with pytest.raises(FileNotFoundError):
+        loaders.read_features(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        loaders.feature_extraction_pipeline(w, str(tmp_path / "h"), ["x"], lambda v: v)
+
+
+def test_numbering_by_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(loaders, "RANGE_ROWS", 40)
+    rows = spark.createDataFrame([(i * i * i % 10_007 * 3, "c0") for i in range(1000)], "flat_idx long, label string").distinct()
+    got = loaders.batches(rows, 32).orderBy("flat_idx").collect()
+    assert [r.batch * 32 + r.slot for r in got] == list(range(len(got)))
+
+
+def test_concat_sink_and_many_tensors(spark, tmp_path):
+    t = small(spark)
+    got = tensor.concat_to([t] * 6, str(tmp_path / "c"), 1)
+    assert got.count() == 36 and got.agg(F.max("file_idx")).first()[0] == 59 and tensor.materialised(t, str(tmp_path / "m")).count() == 6
+
+
+def test_half_precision_column(spark):
+    got = spark.createDataFrame([([0.1, 2.0, 70_000.0],), (None,)], "x array<float>").select(loaders.as_half(F.col("x")).alias("x")).collect()
+    assert got[0].x[:2] == [float(np.float16(0.1)), 2.0] and np.isinf(got[0].x[2]) and got[1].x is None
+
+
+def test_download_from_a_local_server(tmp_path):
+    import http.server
+    import threading
+
+    body = bytes(range(256)) * 500
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        ranged = True
+
+        def reply(self, send):
+            first, last = 0, len(body) - 1
+            if self.ranged and (r := self.headers.get("Range")):
+                first, last = map(int, r.removeprefix("bytes=").split("-"))
+            self.send_response(206 if self.headers.get("Range") and self.ranged else 200)
+            if self.ranged:
+                self.send_header("Accept-Ranges", "bytes")
+            self.send_header("Content-Length", str(last - first + 1))
+            self.end_headers()
+            if send:
+                self.wfile.write(body[first : last + 1])
+
+        def do_HEAD(self):
+            self.reply(False)
+
+        def do_GET(self):
+            self.reply(True)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/x"
+        (tmp_path / "a.bin.part1").write_bytes(body[32_000:33_000])  # resumed
+        assert staging.download(url, str(tmp_path / "a.bin"), 1, 1, 0, num_connections=4) and (tmp_path / "a.bin").read_bytes() == body
+        Handler.ranged = False
+        assert staging.download(url, str(tmp_path / "b.bin"), 1, 1, 0) and (tmp_path / "b.bin").read_bytes() == body
+        assert not staging.download(url, str(tmp_path / "c.bin"), len(body) + 1, 2, 0) and not (tmp_path / "c.bin").exists()
+        assert staging.download(url, str(tmp_path / "a.bin"), 1)
+    finally:
+        server.shutdown()

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,62 +22,143 @@ def encoded(rows: DataFrame, class_to_idx: dict[str, int]) -> DataFrame:
     return rows.withColumn("y", F.coalesce(F.try_element_at(table, "label"), F.raise_error(F.concat(F.lit("no class number for "), "label"))).cast("long"))
 
 
-def batches(rows: DataFrame, batch_size: int = 32, shuffle: bool = False, seed: int = 42, epoch: int = 0) -> DataFrame:
+#: Rows of a range that are numbered together, about.
+RANGE_ROWS = 100_000
+
+
+def batches(rows: DataFrame, batch_size: int = 32, shuffle: bool = False, seed: int = 42, epoch: int = 0, n_rows: int | None = None) -> DataFrame:
     """Adds batch and slot; the last batch may be smaller. Shuffled by a mix of flat_idx that epoch and seed change, else in order of flat_idx.
 
-    Rows are numbered by ranges of the order: only the counts of ranges meet in one task."""
+    Rows are numbered by ranges of the order, whose bounds are quantiles: ranges are of nearly equal size, their number
+    follows that of the rows (counted unless given), and only the counts of ranges meet in one task."""
     key = mixed(F.col("flat_idx"), seed + 1009 * epoch) if shuffle else F.col("flat_idx")
     rows = rows.withColumn("_k", key.cast("long"))
-    low, high = rows.agg(F.min("_k").alias("v")).scalar(), rows.agg(F.max("_k").alias("v")).scalar()
-    rows = rows.withColumn("_r", F.least(F.lit(255), F.floor((F.col("_k") - low) * 256.0 / F.greatest(F.lit(1), high - low + 1))).cast("int"))
+    ranges = -(-(rows.count() if n_rows is None else n_rows) // RANGE_ROWS)
+    bounds = sorted(set(rows.approxQuantile("_k", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    rows = rows.withColumn("_r", _range(F.col("_k"), bounds))
     before = rows.groupBy("_r").agg(F.count("*").alias("_n")).select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_b"))
     at = F.row_number().over(Window.partitionBy("_r").orderBy("_k", "flat_idx")) - 1 + F.col("_b")
     return rows.join(F.broadcast(before), "_r").withColumn("_at", at).withColumns({"batch": F.floor(F.col("_at") / batch_size).cast("long"), "slot": (F.col("_at") % batch_size).cast("int")}).drop("_k", "_r", "_b", "_at")
 
 
-def iterate(rows: DataFrame, sensors: Sequence[str], batch_size: int = 32, shuffle: bool = False, seed: int = 42, epoch: int = 0, with_meta: bool = False) -> Iterator[tuple]:
-    """(x float32 [n, sensors, samples], y int64 [n]) for each batch, and metadata if asked for, partition by partition."""
+def _range(key: Column, bounds: list[float]) -> Column:
+    """How many bounds are at most key, by halving."""
+    if not bounds:
+        return F.lit(0)
+
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(key < bounds[mid], halved(low, mid)).otherwise(halved(mid + 1, high))
+
+    return halved(0, len(bounds))
+
+
+def within(rows: DataFrame, valid_folds: Sequence[int] | None = None, valid_files: Sequence[int] | None = None) -> DataFrame:
+    """The rows of the folds and files listed; None: of all."""
+    if valid_folds is not None:
+        rows = rows.where(F.col("fold").isin([int(v) for v in valid_folds]))
+    return rows if valid_files is None else rows.where(F.col("file_idx").isin([int(v) for v in valid_files]))
+
+
+def arrow_batches(rows: DataFrame, columns: Sequence[str], batch_size: int, shuffle: bool, seed: int, epoch: int) -> Iterator[pa.Table]:
+    """Each batch's columns as an Arrow table, in order. Rows come packed as Arrow, a task's batches at a time, and never as Python objects."""
     own = batches(rows, batch_size, shuffle, seed, epoch)
-    held: list = []
-    for r in own.orderBy("batch", "slot").toLocalIterator(prefetchPartitions=True):
-        if held and held[-1].batch != r.batch:
-            yield _stack(held, sensors, with_meta)
-            held = []
-        held.append(r)
-    if held:
-        yield _stack(held, sensors, with_meta)
+    schema = own.select(*columns).schema
+    names = [f"c{i}" for i in range(len(columns))]
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("slot")
+        sink = pa.BufferOutputStream()
+        body = pa.table(dict(zip(names, (t[n] for n in names))))
+        with pa.ipc.new_stream(sink, body.schema) as out:
+            out.write_table(body)
+        return pa.table({"batch": t["batch"][:1], "body": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    slim = own.select("batch", "slot", *(F.col(c).alias(n) for c, n in zip(columns, names)))
+    packed = slim.groupBy("batch").applyInArrow(pack, "batch long, body binary")
+    for r in packed.orderBy("batch").toLocalIterator(prefetchPartitions=True):
+        yield pa.ipc.open_stream(r.body).read_all().rename_columns(schema.names)
+
+
+def _matrix(t: pa.Table, sensors: Sequence[str]) -> np.ndarray:
+    return np.stack([t[s].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for s in sensors], axis=1).astype(np.float32)
+
+
+def iterate(rows: DataFrame, sensors: Sequence[str], batch_size: int = 32, shuffle: bool = False, seed: int = 42, epoch: int = 0, with_meta: bool = False) -> Iterator[tuple]:
+    """(x float32 [n, sensors, samples], y int64 [n]) for each batch, and (severities, speeds) if asked for."""
+    for t in arrow_batches(rows, [*sensors, "y", *(["severity", "rpm"] if with_meta else [])], batch_size, shuffle, seed, epoch):
+        x, y = _matrix(t, sensors), t["y"].to_numpy().astype(np.int64)
+        yield (x, y, (t["severity"].to_pylist(), t["rpm"].to_numpy().astype(np.float32))) if with_meta else (x, y)
 
 
-def _stack(held: list, sensors: Sequence[str], with_meta: bool) -> tuple:
-    x = np.array([[r[s] for s in sensors] for r in held], np.float32)
-    y = np.array([r.y for r in held], np.int64)
-    return (x, y, ([r.severity for r in held], np.array([r.rpm for r in held], np.float32))) if with_meta else (x, y)
+def iterate_features(rows: DataFrame, batch_size: int = 32, shuffle: bool = False, seed: int = 42, epoch: int = 0, with_meta: bool = False) -> Iterator[tuple]:
+    """(x float32 [n, features], y int64 [n]) for each batch of feature rows, and (severities, speeds) if asked for. Needs flat()."""
+    for t in arrow_batches(rows, ["features", "y", *(["severity", "rpm"] if with_meta else [])], batch_size, shuffle, seed, epoch):
+        x, y = _matrix(t, ["features"])[:, 0], t["y"].to_numpy().astype(np.int64)
+        yield (x, y, (t["severity"].to_pylist(), t["rpm"].to_numpy().astype(np.float32))) if with_meta else (x, y)
 
 
-def get_pytorch_dataloader(windows: DataFrame, class_to_idx: dict[str, int], sensors: Sequence[str], batch_size: int = 32, shuffle: bool = True, seed: int = 42, with_meta: bool = False):
-    """A torch DataLoader over batches, if torch is there; else the iterator itself."""
-    rows = encoded(windows, class_to_idx)
+def flat(rows: DataFrame) -> DataFrame:
+    """Feature rows with one array `features` (structs of sensors are laid out in their order) and flat_idx, which is made of the
+    coordinates where it is missing: it orders fold, then file, then window."""
+    if "features" not in rows.columns:
+        own = [F.array(*(F.col(f"`{c}`.`{n}`").cast("float") for n in rows.schema[c].dataType.names)) for c in rows.columns if c not in META]
+        rows = rows.select(*(c for c in META if c in rows.columns), F.concat(*own).alias("features"))
+    if "flat_idx" not in rows.columns:
+        rows = rows.withColumn("flat_idx", (F.col("fold").cast("long") * (1 << 21) + F.col("file_idx")) * (1 << 21) + F.col("win_idx"))
+    return rows
+
+
+def _torch(make: Callable[[int], Iterator[tuple]]):
+    """A torch DataLoader whose epochs are make(0), make(1) and so on, if torch is there; else the first of them."""
     try:
         import torch
     except ImportError:
-        return iterate(rows, sensors, batch_size, shuffle, seed, with_meta=with_meta)
+        return make(0)
 
     class Batches(torch.utils.data.IterableDataset):
+        epoch = -1
+
         def __iter__(self):
-            return ((torch.from_numpy(x), torch.from_numpy(y), *m) for x, y, *m in iterate(rows, sensors, batch_size, shuffle, seed, with_meta=with_meta))
+            self.epoch += 1
+            return ((torch.from_numpy(x), torch.from_numpy(y), *m) for x, y, *m in make(self.epoch))
 
     return torch.utils.data.DataLoader(Batches(), batch_size=None)
 
 
-def get_tensorflow_dataset(windows: DataFrame, class_to_idx: dict[str, int], sensors: Sequence[str], batch_size: int = 32):
-    """A tf.data dataset of ordered batches with int32 labels, if TensorFlow is there; else an iterator of the same."""
-    rows = encoded(windows, class_to_idx)
-    made = lambda: ((x, y.astype(np.int32)) for x, y in iterate(rows, sensors, batch_size))
+def _tensorflow(make: Callable[[], Iterator[tuple]], shape: tuple):
+    """A tf.data dataset of make(), if TensorFlow is there; else make()."""
     try:
         import tensorflow as tf
     except ImportError:
-        return made()
-    return tf.data.Dataset.from_generator(made, output_signature=(tf.TensorSpec((None, len(sensors), None), tf.float32), tf.TensorSpec((None,), tf.int32))).prefetch(tf.data.AUTOTUNE)
+        return make()
+    return tf.data.Dataset.from_generator(make, output_signature=(tf.TensorSpec(shape, tf.float32), tf.TensorSpec((None,), tf.int32))).prefetch(tf.data.AUTOTUNE)
+
+
+def get_pytorch_dataloader(windows: DataFrame, class_to_idx: dict[str, int], sensors: Sequence[str], batch_size: int = 32, shuffle: bool = True, seed: int = 42, with_meta: bool = False, valid_folds: Sequence[int] | None = None, valid_files: Sequence[int] | None = None):
+    """A torch DataLoader over batches of windows, if torch is there; else the iterator itself. Folds and files restrict the windows."""
+    rows = encoded(within(windows, valid_folds, valid_files), class_to_idx)
+    return _torch(lambda epoch: iterate(rows, sensors, batch_size, shuffle, seed, epoch, with_meta))
+
+
+def get_tensorflow_dataset(windows: DataFrame, class_to_idx: dict[str, int], sensors: Sequence[str], batch_size: int = 32, valid_folds: Sequence[int] | None = None, valid_files: Sequence[int] | None = None):
+    """A tf.data dataset of ordered batches with int32 labels, if TensorFlow is there; else an iterator of the same."""
+    rows = encoded(within(windows, valid_folds, valid_files), class_to_idx)
+    return _tensorflow(lambda: ((x, y.astype(np.int32)) for x, y in iterate(rows, sensors, batch_size)), (None, len(sensors), None))
+
+
+def get_pytorch_feature_loader(features: DataFrame, class_to_idx: dict[str, int], batch_size: int = 32, shuffle: bool = True, seed: int = 42, with_meta: bool = False, valid_folds: Sequence[int] | None = None, valid_files: Sequence[int] | None = None):
+    """A torch DataLoader over batches of feature rows, if torch is there; else the iterator itself."""
+    rows = encoded(flat(within(features, valid_folds, valid_files)), class_to_idx)
+    return _torch(lambda epoch: iterate_features(rows, batch_size, shuffle, seed, epoch, with_meta))
+
+
+def get_tensorflow_featureset(features: DataFrame, class_to_idx: dict[str, int], batch_size: int = 32, valid_folds: Sequence[int] | None = None, valid_files: Sequence[int] | None = None):
+    """A tf.data dataset of ordered batches of feature rows with int32 labels, if TensorFlow is there; else an iterator of the same."""
+    rows = encoded(flat(within(features, valid_folds, valid_files)), class_to_idx)
+    return _tensorflow(lambda: ((x, y.astype(np.int32)) for x, y in iterate_features(rows, batch_size)), (None, None))
 
 
 def feature_rows(windows: DataFrame, sensors: Sequence[str], names: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
@@ -104,6 +186,24 @@ def write_features(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def read_features(spark, path: str) -> DataFrame:
+    """The feature rows stored at path."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
+
+
+def feature_extraction_pipeline(windows: DataFrame, path: str, sensors: Sequence[str], transform_fn: Callable | None = None, window_size: int | None = None, names: Sequence[str] = tuple(REGISTRY)) -> DataFrame:
+    """Features of all windows, written to path and read back: the named ones, or those of transform_fn over [sensors, window_size]."""
+    if transform_fn and not window_size:
+        raise ValueError("transform_fn needs window_size")
+    write_features(transformed(windows, sensors, transform_fn, window_size) if transform_fn else feature_rows(windows, sensors, names), path)
+    return read_features(windows.sparkSession, path)
+
+
 def load_features(rows: DataFrame, selected_sensors="all", target_classes="all", target_severities="all", rpm_range="all") -> DataFrame:
     """Feature rows whose files match, with the selected sensors. Missing metadata columns are not tested; a sensor that is unknown is left out, all unknown raise."""
     own = [c for c in rows.columns if c not in META]

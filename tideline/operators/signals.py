@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.dsp import apart
 from tideline.functions.labels import SENSORS
 
 
@@ -17,26 +18,87 @@ def decimated(x: Column, factor: int) -> Column:
     return x if factor <= 1 else F.filter(x, lambda v, i: i % factor == 0)
 
 
-def filter_recordings(recordings: DataFrame, filter_map: dict[str, Callable], downsample_factor: int = 1, fs: float = 50_000, sensors=SENSORS) -> DataFrame:
-    """Each mapped sensor through its callable (1-D to 1-D of the same length), then decimated; others only decimated. fs is the new rate."""
-    if missing := [s for s in filter_map if s not in sensors]:
-        raise KeyError(f"no such sensors: {missing}")
-
-    def apply(fn):
-        @F.pandas_udf("array<double>")
-        def run(s: pd.Series) -> pd.Series:
-            def one(x):
-                y = np.asarray(fn(np.asarray(x, float)), float)
-                if len(y) != len(x):
+#: Bytes of signals that are stacked at most.
+STACKED = 64 << 20
+
+
+def applied(fn: Callable, series: list[np.ndarray]) -> list[np.ndarray | Exception]:
+    """fn of each series. A callable with the attribute `many` takes matrices: series of one length go through it together."""
+    out: list = [None] * len(series)
+    by_length: dict[int, list[int]] = {}
+    for i, x in enumerate(series):
+        by_length.setdefault(len(x), []).append(i)
+    for n, own in by_length.items():
+        most = max(1, STACKED // max(8, 8 * n)) if getattr(fn, "many", False) else 1
+        for at in range(0, len(own), most):
+            some = own[at : at + most]
+            x = np.stack([series[i] for i in some])
+            try:
+                y = np.atleast_2d(np.asarray(fn(x if most > 1 else x[0]), float))
+                if y.shape != x.shape:
                     raise ValueError("a filter must keep the number of samples")
-                return y
+            except Exception as e:  # of one signal: the caller decides
+                y = [e] * len(some)
+            for i, v in zip(some, y):
+                out[i] = v
+    return out
 
-            return s.map(one, na_action="ignore")
 
-        return run
+def filter_recordings(recordings: DataFrame, filter_map: dict[str, Callable], downsample_factor: int = 1, fs: float = 50_000, sensors=SENSORS, errors: bool = False) -> DataFrame:
+    """Each mapped sensor through its callable (1-D to 1-D of the same length, or with the attribute `many` rows to rows), then
+    decimated; others only decimated. fs is the new rate. A null signal stays null. errors: a column `error` tells what
+    failed in a recording, of which the signal is then null; without it a failure raises.
 
-    made = {s: decimated(apply(filter_map[s])(F.col(s)) if s in filter_map else F.col(s), downsample_factor) for s in sensors if s in recordings.columns}
-    return recordings.withColumns(made | {"n_samples": F.ceil(F.col("n_samples") / max(1, downsample_factor)).cast("int"), "fs": F.lit(fs / max(1, downsample_factor))})
+    All sensors of all recordings of an Arrow batch that share a callable and a length are filtered together."""
+    if missing := [s for s in filter_map if s not in sensors]:
+        raise KeyError(f"no such sensors: {missing}")
+    mapped = [s for s in filter_map if s in recordings.columns]
+    names = [f"_f{i}" for i in range(len(mapped))]
+    keep = recordings.columns
+    kinds = {f.name: f.dataType.simpleString() for f in recordings.schema.fields}
+    schema = ", ".join([*(f"`{c}` {'array<double>' if c in mapped else kinds[c]}" for c in keep), "_error string"])
+
+    def run(batches):
+        for b in batches:
+            cols, bad = dict(zip(b.schema.names, b.columns)), [None] * len(b)
+            for fn in {id(filter_map[s]): filter_map[s] for s in mapped}.values():
+                own = [s for s in mapped if filter_map[s] is fn]
+                where = [(s, i) for s in own for i in range(len(b)) if cols[s][i].is_valid]
+                made = applied(fn, [np.asarray(cols[s][i].values.to_numpy(zero_copy_only=False), float) for s, i in where])
+                found: dict = {s: [None] * len(b) for s in own}
+                for (s, i), y in zip(where, made):
+                    if isinstance(y, Exception):
+                        if not errors:
+                            raise y
+                        bad[i] = bad[i] or f"{s}: {type(y).__name__}: {y}"
+                    else:
+                        found[s][i] = y[:: max(1, downsample_factor)]
+                cols |= {s: pa.array(v, pa.list_(pa.float64())) for s, v in found.items()}
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(bad, pa.string())], [*cols, "_error"])
+
+    rows = recordings.mapInArrow(run, schema) if names else recordings.withColumn("_error", F.lit(None).cast("string"))
+    rest = {s: decimated(F.col(s), downsample_factor) for s in sensors if s in keep and s not in mapped}
+    factor = max(1, downsample_factor)
+    rows = rows.withColumns(rest | {"n_samples": F.ceil(F.col("n_samples") / factor).cast("int"), "fs": F.lit(fs / factor)})
+    return rows.withColumnRenamed("_error", "error") if errors else rows.drop("_error")
+
+
+def filter_store(spark, source: str, target: str, filter_map: dict[str, Callable], downsample_factor: int = 1, fs: float = 50_000, sensors=SENSORS) -> DataFrame:
+    """Filters the store at source into one at target, with its settings under target/_attributes, and returns file_path and error of
+    the recordings that failed, which target lacks. Settings: the old and new rate, the factor, and each sensor's filter."""
+    from tideline.sources import recordings as store
+
+    rows = filter_recordings(store.read_store(spark, source), filter_map, downsample_factor, fs, sensors, errors=True)
+    staged = f"{target}/_staged"
+    rows.write.mode("overwrite").parquet(staged)  # each signal is filtered once
+    done = spark.read.parquet(staged)
+    store.write_store(done.where("error is null").drop("error"), f"{target}/recordings")
+    described = {s: type(f).__name__ if not callable(getattr(f, "__name__", None)) else f.__name__ for s, f in filter_map.items()}
+    said = [("source_fs", str(fs)), ("fs", str(fs / max(1, downsample_factor))), ("downsample_factor", str(downsample_factor)), *((f"filter.{s}", v) for s, v in described.items())]
+    spark.createDataFrame(said, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{target}/_attributes")
+    failed = done.where("error is not null").select("file_path", "error")
+    failed.write.mode("overwrite").parquet(f"{target}/_errors")
+    return spark.read.schema(failed.schema).parquet(f"{target}/_errors")
 
 
 # ---- long form: file, i (sample number), x
@@ -57,11 +119,13 @@ def rising_edges(samples: DataFrame, threshold: float = 0.7) -> DataFrame:
 
 
 def close_edges_removed(edges: DataFrame, ratio: float = 0.7) -> DataFrame:
-    """Backwards from the last edge, those at least ratio of the median gap before the one kept last."""
-    rows = edges.groupBy("file").agg(F.sort_array(F.collect_list("i")).alias("e"))
-    gaps = edges.withColumn("gap", F.col("i") - F.lag("i").over(Window.partitionBy("file").orderBy("i"))).groupBy("file").agg(F.greatest(F.lit(1), F.bround(F.median("gap") * ratio, 0).cast("int")).alias("least"))
-    keep = F.aggregate(F.reverse("e"), F.expr("cast(array() as array<int>)"), lambda a, e: F.when((F.size(a) == 0) | (F.element_at(F.when(F.size(a) == 0, F.array(e.cast("int"))).otherwise(a), -1) - e >= F.col("least")), F.concat(a, F.array(e.cast("int")))).otherwise(a))
-    return rows.join(gaps, "file").withColumn("least", F.coalesce("least", F.lit(1))).select("file", F.explode(keep).alias("i"))
+    """Backwards from the last edge, those at least ratio of the median gap before the one kept last. One pass over each file's edges."""
+
+    def run(t: pa.Table) -> pa.Table:
+        kept = apart(np.sort(t["i"].to_numpy()), ratio)
+        return pa.table({"file": pa.chunked_array([t["file"].combine_chunks()]).slice(0, len(kept)), "i": pa.array(kept.astype(np.int32))})
+
+    return edges.select("file", F.col("i").cast("int").alias("i")).groupBy("file").applyInArrow(run, f"file {dict(edges.dtypes)['file']}, i int")
 
 
 def instant_rpm(samples: DataFrame, edges: DataFrame, fs: float = 50_000, pulses_per_rev: int = 1) -> DataFrame:

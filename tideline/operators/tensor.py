@@ -98,15 +98,27 @@ def get_window(tensor: DataFrame, i: int, window_size: int, step_size: int, n_fo
     return row.select(*META, F.lit(w).alias("win_idx"), F.lit(i).cast("long").alias("flat_idx"), *(F.slice(F.col(s), w * step_size + 1, window_size).alias(s) for s in sensors))
 
 
+def materialised(tensor: DataFrame, path: str) -> DataFrame:
+    """The tensor written to path and read back: later reads take only the sensors and files that they need from there."""
+    tensor.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return tensor.sparkSession.read.parquet(path)
+
+
+def concat_to(tensors: Sequence[DataFrame], path: str, axis: int = 0) -> DataFrame:
+    """concat(), written to path and read back."""
+    return materialised(concat(tensors, axis), path)
+
+
 def concat(tensors: Sequence[DataFrame], axis: int = 0) -> DataFrame:
     """Tensors one after the other by fold (0), file (1), sensor (2) or time (3); duplicates stay."""
     first = tensors[0]
     if axis in (0, 1):
         if any(sorted(t.columns) != sorted(first.columns) for t in tensors):
             raise ValueError("tensors must have the same columns")
-        key, out = ("fold", "file_idx")[axis], first
-        for t in tensors[1:]:
-            shift = out.agg((F.coalesce(F.max(key), F.lit(-1)) + 1).cast("int").alias("n")).scalar()
+        # each tensor's extent by itself: shifts are sums of these, and plans grow in proportion to the number of tensors
+        key, out, shift = ("fold", "file_idx")[axis], first, F.lit(0)
+        for before, t in zip(tensors, tensors[1:]):
+            shift = shift + before.agg((F.coalesce(F.max(key), F.lit(-1)) + 1).cast("int").alias("n")).scalar()
             out = out.unionByName(t.withColumn(key, (F.col(key) + shift).cast("int")))
         return out
     out = first

@@ -288,7 +288,7 @@ def split_sql(a: str, b: str, source: str = LABELLED) -> str:
 TWO = split_sql("CASE WHEN n = 4 THEN 3 ELSE greatest(1, round_even(n * 0.75::DOUBLE, 0)::INTEGER) END", "n")
 _A = "greatest(1, CASE WHEN floor(n * 0.7::DOUBLE) + ceil(n * 0.2::DOUBLE) >= n THEN greatest(1, n - ceil(n * 0.2::DOUBLE) - 1) ELSE floor(n * 0.7::DOUBLE) END)::INTEGER"
 THREE = split_sql(f"CASE WHEN n >= 4 THEN {_A} ELSE 1 END", f"CASE WHEN n >= 4 THEN {_A} + greatest(1, ceil(n * 0.2::DOUBLE)::INTEGER) WHEN n = 3 THEN 2 ELSE n END")
-FEW = split_sql(f"CASE WHEN n >= 4 THEN {_A} ELSE 1 END", f"CASE WHEN n >= 4 THEN {_A} + greatest(1, ceil(n * 0.2::DOUBLE)::INTEGER) WHEN n = 3 THEN 2 ELSE n END", "f AS (SELECT CAST(p_partkey AS INTEGER) AS file_idx, concat('c', p_partkey % 7) AS label FROM part WHERE p_partkey < 20)")
+FEW = split_sql(f"CASE WHEN n >= 4 THEN {_A} ELSE 1 END", f"CASE WHEN n >= 4 THEN {_A} + greatest(1, ceil(n * 0.2::DOUBLE)::INTEGER) WHEN n = 3 THEN 2 ELSE n END", "f AS (SELECT CAST(p_partkey AS INTEGER) AS file_idx, concat(p_partkey // 60, '-', p_partkey // (1 + p_partkey // 60 % 5)) AS label FROM part)")
 
 
 @query("split_membership", TWO + " SELECT * FROM s")
@@ -308,7 +308,8 @@ def _(spark, sf):
 
 @query("split_low_file", FEW + " SELECT label, split, count(*) AS n FROM s GROUP BY ALL")
 def _(spark, sf):
-    rows = table(spark, sf, "part").where("p_partkey < 20").select(F.col("p_partkey").cast("int").alias("file_idx"), F.concat(F.lit("c"), (F.col("p_partkey") % 7).cast("string")).alias("label"))
+    # classes of one to five files
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("file_idx"), F.expr("concat(p_partkey div 60, '-', p_partkey div (1 + p_partkey div 60 % 5))").alias("label"))
     return split.stratified_file_split(rows, 0.7, 0.2).groupBy("label", "split").agg(F.count("*").alias("n"))
 
 
@@ -412,7 +413,13 @@ def _(spark, sf):
 
     from tideline.functions import dsp
 
-    rows = signals.filter_recordings(recordings(spark, sf), {"q": lambda x: dsp.lfilter(np.array([0.25]), np.array([1.0, -0.75]), x[None, :])[0]}, sensors=SENSORS)
+    class Smooth:
+        many = True
+
+        def __call__(self, x):
+            return dsp.lfilter(np.array([0.25]), np.array([1.0, -0.75]), x)
+
+    rows = signals.filter_recordings(recordings(spark, sf), {"q": Smooth()}, sensors=SENSORS)
     return rows.select(F.col("file_idx").alias("file"), F.posexplode("q").alias("i", "y")).select("file", "i", F.round("y", 6).alias("y"))
 
 
@@ -460,6 +467,18 @@ def _(spark, sf):
     return rows.select("fold", "file_idx", "win_idx", "label", F.round(F.col("q.max").cast("double"), 3).alias("top_q"))
 
 
+@query("feature_batches", win(64, 32) + f", n AS (SELECT *, row_number() OVER (ORDER BY flat_idx) - 1 AS n FROM win) SELECT CAST(n // 32 AS BIGINT) AS batch, count(*) AS n, round(sum(CAST(CAST(list_max(d) AS FLOAT) AS DOUBLE)), 4) AS top_d FROM n GROUP BY 1")
+def _(spark, sf):
+    rows = loaders.flat(loaders.feature_rows(windowed(spark, sf), ["q", "d"], ["min", "max"]))
+    return loaders.batches(rows, 32).groupBy("batch").agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("features", 4).cast("double")), 4).alias("top_d"))
+
+
+@query("fewshot_features", win(64, 32) + EPISODE + " SELECT CAST(pos AS INTEGER) AS pos, req_pos, CAST(class_id AS BIGINT) AS class_id, label, round(CAST(CAST(list_max(q) AS FLOAT) AS DOUBLE), 4) AS top_q FROM ep")
+def _(spark, sf):
+    rows = loaders.flat(loaders.feature_rows(windowed(spark, sf), ["q"], ["max"]))
+    return sampling.episode(rows, CLASSES, [2, 3, 2], [4, 3, 2]).select("pos", "req_pos", "class_id", "label", F.round(F.element_at("features", 1).cast("double"), 4).alias("top_q"))
+
+
 # ---------------------------------------------------------------- concatenation
 
 

@@ -85,32 +85,32 @@ def download(url: str, target_path: str, min_size_bytes: int = 12 << 30, max_ret
 
 
 def extract_zip(zip_path: str, extract_to: str, replace: bool = False, max_workers: int = 4) -> bool:
-    """Unpacks beside the destination and swaps it in at the end; a failure leaves what was there."""
+    """Whether extract_to holds the archive's members afterwards. A target that exists counts as done unless replace is set.
+
+    Members are written to a new folder beside the target by a pool of readers, which takes its place when all are there."""
     target = Path(extract_to)
     if target.exists() and not replace:
-        return False
-    staged = target.with_name(target.name + "_part")
-    if staged.exists():
-        shutil.rmtree(staged)
-    staged.mkdir(parents=True)
+        return True
+    staged = target.with_name(f"{target.name}.{os.getpid()}.part")
+    remove(staged)
     try:
+        staged.mkdir(parents=True)
         with zipfile.ZipFile(zip_path) as z:
-            names = z.namelist()
+            members = sorted(z.infolist(), key=lambda m: -m.file_size)  # the largest first, so that workers end together
 
-        def some(i: int) -> None:
+        def unpack(member: zipfile.ZipInfo) -> None:
             with zipfile.ZipFile(zip_path) as z:
-                for n in names[i::max_workers]:
-                    z.extract(n, staged)
+                z.extract(member, staged)
 
         with ThreadPoolExecutor(max_workers) as pool:
-            list(pool.map(some, range(max_workers)))
-        if target.exists():
-            shutil.rmtree(target)
+            for done in [pool.submit(unpack, m) for m in members]:
+                done.result()
+        remove(target)
         os.replace(staged, target)
-        return True
     except (OSError, zipfile.BadZipFile):
-        shutil.rmtree(staged, ignore_errors=True)
+        remove(staged)
         return False
+    return True
 
 
 def create_zip(src_dir: str, dst_zip_path: str) -> bool:
