@@ -195,7 +195,10 @@ def test_blocks_filter_like_the_recursion():
         state = np.random.default_rng(3).normal(size=(2, 4))
         want, _ = dsp.recursion(b, a, x, np.ascontiguousarray(state.T))
         assert np.allclose(dsp.lfilter(b, a, x, state), want, atol=1e-9)
-    whole = dsp.AccelerometerFilter()(x)
+    whole, one = dsp.AccelerometerFilter()(x), x
+    for q in dsp.sections(*dsp.AccelerometerFilter().zpk):
+        one = dsp.recursion(q[:3], np.array([1.0, *q[3:]]), one, np.zeros((4, 2)))[0]
+    assert np.allclose(whole, one, atol=1e-9)
     assert np.allclose(whole[2], dsp.AccelerometerFilter()(x[2])) and np.isfinite(whole).all()
 
 
