@@ -260,6 +260,49 @@ def test_warc_payloads_that_end_in_line_breaks(spark, tmp_path, split):
     assert back == {i: (b, warc.digest_of(b.encode())) for i, b in enumerate(bodies)}
 
 
+def test_warc_nulls_repeats_cut_and_foreign_files(spark, tmp_path):
+    rows = [(1, "u", "same"), (1, "u", "same"), (None, "u", "same"), (2, "u", "x" * 300), (3, None, None)]
+    pages = spark.createDataFrame([(*r, "own") for r in rows], "page_id long, url string, html string, digest string").coalesce(1)
+    got = warc.query(pages).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got) == [
+        (False, 1, "response", 0, 4), (False, 1, "response", 0, 4), (False, 2, "response", 0, 300), (False, 3, "response", 0, 0), (True, 0, "revisit", 1, 4)
+    ]
+    folder = tmp_path / "w"
+    warc.written_archives(pages, str(folder))
+    assert all(r.intact for r in warc.read_archives(spark, str(folder)).collect()) and {r.lost for r in warc.lost_bytes(spark, str(folder)).collect()} == {0}
+    data = next(folder.glob("part-*")).read_bytes()
+    for p in folder.iterdir():
+        p.unlink()
+    at = data.index(b"xxx")
+    (folder / "cut.txt").write_bytes(data[: at + 100])
+    back = warc.read_archives(spark, str(folder)).collect()
+    assert [r.page_id for r in back if not r.intact] == [2] and len(back) >= 1
+    (folder / "cut.txt").write_bytes(b"no archive\r\n" * 20)
+    assert warc.read_archives(spark, str(folder)).count() == 0 and warc.lost_bytes(spark, str(folder)).first().lost > 200
+
+
+def test_sharding_is_the_scalar_jump_hash(spark):
+    def jump(key, n):  # the published algorithm, one key at a time
+        b, j = -1, 0
+        while j < n:
+            b = j
+            key = (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+        return b
+
+    def spread(x):
+        z = (x + 0x9E3779B97F4A7C15) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        return z ^ z >> 31
+
+    ids = [0, 1, -5, 2**62, *range(100, 400, 7), None]
+    docs = spark.createDataFrame([(i, f"t{i}", 1, 2) for i in ids], "doc_id long, text string, shard int, cell int")
+    for n in (1, 3, 8):
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.query(docs, n).collect()}
+        assert got == {i: (jump(spread((-1 if i is None else i) % 2**64), n), jump(spread((-1 if i is None else i) % 2**64), n + 1)) for i in ids}
+
+
 def test_rules(docs, none, rows):
     want = []
     for r in rows:

@@ -62,7 +62,7 @@ def written_archives(pages: DataFrame, path: str) -> DataFrame:
 
 
 FIELDS = "page_id long, url string, type string, refers_to long, digest string, length long"
-CANDIDATE = f"file string, split long, off long, next long, leaves long, whole boolean, {FIELDS}, own_digest string, payload binary"
+CANDIDATE = f"file string, split long, off long, next long, leaves long, whole boolean, {FIELDS}, own_digest string, own_bytes long, payload binary"
 
 
 def number(name: str) -> int | None:
@@ -128,6 +128,7 @@ def candidates(spark, path: str, payloads: bool) -> DataFrame:
             data = MARK.encode().join(parts)[len(SEP) :][:n] if whole else b""
             row["whole"] = whole
             row["own_digest"] = digest_of(data) if whole else None
+            row["own_bytes"] = len(data) if whole else None
             row["payload"] = data if payloads and whole else None
 
         def flush():
@@ -164,7 +165,7 @@ def candidates(spark, path: str, payloads: bool) -> DataFrame:
     return scanned(spark, path).mapInArrow(run, CANDIDATE)
 
 
-SCHEMA = pa.schema([("file", pa.string()), ("split", pa.int64()), ("off", pa.int64()), ("next", pa.int64()), ("leaves", pa.int64()), ("whole", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("own_digest", pa.string()), ("payload", pa.binary())])
+SCHEMA = pa.schema([("file", pa.string()), ("split", pa.int64()), ("off", pa.int64()), ("next", pa.int64()), ("leaves", pa.int64()), ("whole", pa.bool_()), ("page_id", pa.int64()), ("url", pa.string()), ("type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("length", pa.int64()), ("own_digest", pa.string()), ("own_bytes", pa.int64()), ("payload", pa.binary())])
 
 
 def chain(found: DataFrame) -> DataFrame:
@@ -200,11 +201,16 @@ def chain(found: DataFrame) -> DataFrame:
 
 
 def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives under path: page_id, url, type, refers_to, digest and length as in the header, own_digest (of
-    the bytes read) and, if asked for, payload. Payloads may hold record separators and whole records. No file: no record."""
+    """The records of the archives under path: page_id, url, type, refers_to, digest and length as in the header, own_digest and
+    own_bytes (of the bytes read), intact and, if asked for, payload. Payloads may hold record separators and whole records.
+
+    intact: the bytes read have the header's digest and length, or it is a revisit, of which the payload is elsewhere. A
+    record that its file's end cuts short is returned with what is there, and is not intact; what follows a place at
+    which no record starts is not reached: lost_bytes() counts it. No file: no record."""
     found = written(candidates(spark, path, payloads), "candidates")
-    good = written(chain(found).select("file", "split", "base", "off", "next", "whole", *(f.split()[0] for f in FIELDS.split(", ")), "own_digest", "payload"), "records")
-    done = good.where("whole").drop("file", "split", "base", "off", "next", "whole")
+    good = written(chain(found).select("file", "split", "base", "off", "next", "whole", *(f.split()[0] for f in FIELDS.split(", ")), "own_digest", "own_bytes", "payload"), "records")
+    right = (F.col("type") == "revisit") | (F.col("own_digest").eqNullSafe(F.col("digest")) & F.col("own_bytes").eqNullSafe(F.col("length")))
+    done = good.where("whole").drop("file", "split", "base", "off", "next", "whole").withColumn("intact", right)
     over = good.where("not whole").select("file", "base", "off", "next", "page_id").withColumn("start", F.col("base") + F.col("off")).withColumn("stop", F.col("base") + F.col("next"))
     if over.isEmpty():
         return done
@@ -227,21 +233,34 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
         parts = [c for _, c in sorted(zip(t["at"].to_pylist(), t["chunk"].to_pylist()))]
         data, at = MARK.encode().join(parts), head_end(parts[0]) + len(SEP)
         data = data[at : t["stop"][0].as_py() - t["start"][0].as_py() - len(MAGIC) - len(SEP)]
-        return pa.table({"file": t["file"][:1], "start": t["start"][:1], "bytes": pa.array([data], pa.binary()), "found": [digest_of(data)]})
+        return pa.table({"file": t["file"][:1], "start": t["start"][:1], "bytes": pa.array([data], pa.binary()), "found": [digest_of(data)]})  # one record
 
     rebuilt = scanned(spark, path).mapInArrow(pieces, "file string, start long, stop long, at long, chunk binary").groupBy("file", "start").applyInArrow(join, "file string, start long, bytes binary, found string")
-    late = good.where("not whole").withColumn("start", F.col("base") + F.col("off")).drop("own_digest", "payload").join(rebuilt, ["file", "start"])
-    return done.unionByName(late.withColumn("own_digest", F.col("found")).withColumn("payload", F.col("bytes") if payloads else F.lit(None).cast("binary")).select(*done.columns))
+    late = good.where("not whole").withColumn("start", F.col("base") + F.col("off")).drop("own_digest", "own_bytes", "payload").join(rebuilt, ["file", "start"])
+    late = late.withColumns({"own_digest": F.col("found"), "own_bytes": F.octet_length("bytes").cast("long"), "payload": F.col("bytes") if payloads else F.lit(None).cast("binary")})
+    return done.unionByName(late.withColumn("intact", right).select(*done.columns))
+
+
+def lost_bytes(spark, path: str) -> DataFrame:
+    """file, size, and lost: the bytes after the last record that the chain from the file's start reaches; 0 in whole archives."""
+    found = written(candidates(spark, path, False), "candidates")
+    sizes = spark.read.option("lineSep", MARK).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    ends = chain(found).groupBy("file").agg(F.max(F.col("base") + F.col("next")).alias("end"))
+    lost = F.greatest(F.lit(0), F.col("size") - F.coalesce("end", F.lit(0)))
+    return sizes.join(ends, "file", "left").select("file", "size", lost.cast("long").alias("lost"))
 
 
 def query(pages: DataFrame) -> DataFrame:
-    """op7: one row for each page, from the archives: payloads of responses are digested anew as read."""
+    """op7: one row for each page, from the archives: payloads of responses are counted and digested anew as read.
+
+    Null and repeated page_ids have a record each; equal payloads of one page_id are all responses if it is the largest."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
     written_archives(pages, path)
     rows = read_archives(spark, path, payloads=False)
     revisit = F.col("type") == "revisit"
-    return rows.select("page_id", F.col("length").alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.col("own_digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
+    size = F.when(revisit, F.col("length")).otherwise(F.col("own_bytes"))
+    return rows.select("page_id", size.alias("payload_bytes"), F.when(revisit, F.col("digest")).otherwise(F.col("own_digest")).alias("payload_digest"), F.col("type").alias("record_type"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
 
 
 #: DuckDB's statement of op7.
