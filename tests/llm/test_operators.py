@@ -74,9 +74,31 @@ def test_substrings(docs, none, rows):
     same(substrings.query(docs).collect(), want)
     tight = substrings.deduplicated(docs, group=50, bits=6).select(kernel.real_id(), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
     same(tight, want)
+    # fingerprints that nearly all windows share: words alone decide
+    vain = substrings.deduplicated(docs, group=50, bits=4, fingerprint=3).select(kernel.real_id(), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
+    same(vain, want)
     assert substrings.query(none).count() == 0
 
 
+def test_subtree_leaves_are_sorted_suffixes():
+    rng = np.random.default_rng(3)
+    for most in (2, 70000, 1 << 40):
+        words = rng.integers(0, most, (300, 13))
+        words[::3] = words[0]
+        words[1::5, :7] = words[1, :7]
+        order, common = substrings.leaves(words)
+        rows = [tuple(r) for r in words[order].tolist()]
+        assert rows == sorted(map(tuple, words.tolist()))
+        assert common[0] == 0
+        for a, b, n in zip(rows, rows[1:], common[1:]):
+            assert n == next((k for k in range(13) if a[k] != b[k]), 13)
+
+
+def test_bins_of_the_last_depth_split_by_their_size(spark):
+    route = substrings.routes(kernel.keyed(spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(3000)))], "doc_id long, text string")), 13, 20, 4)
+    assert (route[1] > 1).all() and route[1].sum() >= 2988 // 20
+
+
 def test_suffixes(docs, none, rows):
     many = Counter(t[k : k + 400] for t in ((r[1] or "").encode() for r in rows) for k in range(len(t) - 399))
     want = []

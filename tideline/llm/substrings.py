@@ -1,15 +1,20 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-A suffix starts at a word. Suffixes are split by variable-length prefixes into groups of about `group` suffixes: one
-scan counts suffixes by the hash of their first 1, 2, 4 and `span` words, and a suffix goes by its shortest prefix whose
-count fits a group. Within a group, a subtree's node at the depth of `span` words is the set of suffixes with equal
-first `span` words; nodes with leaves in more than one document are the deep internal ones, and successive leaves of
-such nodes make up the maximal repeats. An edge below the group's prefix is held as a 56-bit fingerprint: with the
-group's prefix hash, which is another function, the compared bits grow with the number of groups.
-
-Before the shuffle a task keeps, of equal suffixes in its block, those of the least document; the others are already
-decided. So a passage in a third of all documents reaches its group once for each block. Suffixes travel as blobs of
-byte planes. The decided places come back to the documents by row buckets of bounded size.
+A suffix starts at a word and is cut after `span` words, as nodes below that depth decide nothing. Suffixes are split by
+variable-length prefixes into groups of about `group` suffixes: one scan counts suffixes by the hash of their first 1, 2,
+4 and `span` words, and a suffix goes by its shortest prefix whose count fits a group. A prefix of `span` words whose bin
+still holds more is split by further bits of its hash, so that the number of groups follows that of suffixes.
+
+Most suffixes occur once, and their words need not travel. So a group first gets fingerprints, and leaves out suffixes
+whose fingerprint no other document has: these are leaves below no deep node. The words of the others are fetched from
+their documents, as numbers into a small vocabulary, and each group builds its subtree: leaves in order of their words,
+with the lengths of common prefixes of neighbours. Runs of neighbours with `span` common words are the deep internal
+nodes; leaves of a node in a document other than the node's least are removed, and successive ones make up the maximal
+repeats. Equal fingerprints decide nothing by themselves, so their width only sets how many words are fetched in vain.
+
+Before the shuffle a task keeps, of suffixes in its block with equal words, those of the least document; the others are
+already decided. So a passage in a third of all documents reaches its group once for each block. Suffixes travel as blobs
+of byte planes. The decided places come back to the documents by row buckets of bounded size.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, chained, ints, keyed, mix, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds
+from .kernel import U64, chained, ints, keyed, mix, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds, written
 
 DEPTHS = (1, 2, 4)
-BLOB = "kind int, place int, ids binary, crcs binary, n binary, pos binary, h binary"
+BLOB = "kind int, place int, origin int, ids binary, crcs binary, n binary, pos binary, h binary, words binary"
 #: Bytes of files for each row bucket in the last stage.
 BUCKET_BYTES = 8 << 20
 
@@ -40,8 +45,8 @@ def prefixes(h: np.ndarray, at: np.ndarray, span: int, bits: int) -> list[np.nda
     return [(chained(h ^ U64(0x5851F42D4C957F2D), d)[at] >> U64(64 - bits)).astype(np.int64) for d in (*DEPTHS, span)]
 
 
-def routes(docs: DataFrame, span: int, group: int, bits: int) -> np.ndarray:
-    """The group of each (depth, bin), -1 where suffixes go by a longer prefix: counts of all suffixes, of fixed size."""
+def routes(docs: DataFrame, span: int, group: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each (depth, bin), -1 where suffixes go by a longer prefix, and how many groups a bin of the last depth has."""
 
     def count(batches):
         total = np.zeros((len(DEPTHS) + 1, 1 << bits), np.int64)
@@ -57,40 +62,98 @@ def routes(docs: DataFrame, span: int, group: int, bits: int) -> np.ndarray:
     total = np.zeros((len(DEPTHS) + 1, 1 << bits), np.int64)
     if got.num_rows:
         total[ints(got["d"]), ints(got["bin"])] = ints(got["n"])
-    place, first = np.full(total.shape, -1, np.int32), 0
+    place, pieces, first = np.full(total.shape, -1, np.int32), -(-total[-1] // group), 0
     for d, n in enumerate(total):
-        fits = np.flatnonzero((n > 0) & ((n <= group) | (d == len(DEPTHS))))
+        fits = np.flatnonzero((n > 0) & (n <= group))
         if len(fits):
-            place[d, fits] = first + np.cumsum(np.minimum(n[fits], group)) // group
+            place[d, fits] = first + np.cumsum(n[fits]) // group
             first = int(place[d, fits].max()) + 1
-    return place
-
-
-def blob(kind: int, place: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray, h: np.ndarray | None = None) -> dict:
+    over = np.flatnonzero(pieces > 1)
+    place[-1, over] = first + np.cumsum(pieces[over]) - pieces[over]
+    return place, np.maximum(pieces, 1)
+
+
+def routed(h: np.ndarray, at: np.ndarray, span: int, bits: int, whole: np.ndarray, route) -> np.ndarray:
+    """The group of each suffix. whole: hashes of their first span words, of which the upper 24 bits split large bins."""
+    place, pieces = route
+    to = np.full(len(at), -1, np.int64)
+    bins = prefixes(h, at, span, bits)
+    for d, own in enumerate(bins):
+        to = np.where(to < 0, place[d, own], to)
+    by = pieces[bins[-1]]
+    return np.where(by > 1, place[-1, bins[-1]] + (whole >> U64(40)).astype(np.int64) % by, to)
+
+
+def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Words as numbers into their vocabulary: equal numbers if and only if equal bytes."""
+    size = ends - starts
+    stops = np.cumsum(size)
+    flat = buf[np.repeat(starts - (stops - size), size) + np.arange(int(size.sum()))]
+    words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int64)), pa.py_buffer(flat)])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def leaves(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of suffixes (rows of word numbers) and, by place in it, the words in common with the leaf before."""
+    n, span = words.shape
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = max(1, int(words.max()).bit_length())
+    keys = []
+    for a in range(0, span, 64 // wide):
+        key = np.zeros(n, U64)
+        for column in words[:, a : a + 64 // wide].T:
+            key = (key << U64(wide)) | column.astype(U64)
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    common, alike = np.zeros(n, np.int64), np.ones(n - 1, bool)
+    for column in words.T:
+        column = column[order]
+        alike &= column[1:] == column[:-1]
+        common[1:] += alike
+    return order, common
+
+
+def of_runs(ids: np.ndarray, head: np.ndarray, which=np.minimum) -> np.ndarray:
+    """By row the least (or largest) id of its run; head: first rows of runs."""
+    return np.repeat(which.reduceat(ids, head), np.diff(head, append=len(ids))) if len(ids) else ids
+
+
+def blob(kind: int, place: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray, h: bytes = b"", words: bytes = b"", origin: int = -1) -> dict:
     """Rows in order of doc: documents once with their numbers of rows, places as differences."""
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     step = np.diff(pos, prepend=0)
     step[first] = pos[first]
-    return {"kind": kind, "place": place, "ids": pack(ids[doc[first]]), "crcs": pack(crcs[doc[first]].astype(np.uint32)), "n": pack(np.diff(first, append=len(doc)).astype(np.uint32)), "pos": pack(step.astype(np.int32)), "h": b"" if h is None else pack(h)[: 7 * len(h)]}
+    counts = np.diff(first, append=len(doc)).astype(np.uint32)
+    places = {"ids": pack(ids[doc[first]]), "crcs": pack(crcs[doc[first]].astype(np.uint32)), "n": pack(counts), "pos": pack(step.astype(np.int32))}
+    return {"kind": kind, "place": place, "origin": origin, **places, "h": h, "words": words}
 
 
-def unblob(t: pa.Table, hashes: bool = False):
-    """ids, crcs and pos (and h) of all rows of the blobs, by row."""
-    ids, crcs, pos, h = [], [], [], []
-    for r in t.select(["ids", "crcs", "n", "pos", "h"]).to_pylist():
+def unblob(t: pa.Table):
+    """ids, crcs, pos and origin of all rows of the blobs, by row."""
+    ids, crcs, pos, origin = [], [], [], []
+    for r in t.select(["ids", "crcs", "n", "pos", "origin"]).to_pylist():
         n = unpack(r["n"], np.uint32).astype(np.int64)
         ids.append(np.repeat(unpack(r["ids"], np.int64), n))
         crcs.append(np.repeat(unpack(r["crcs"], np.uint32), n).astype(np.int64))
         step = unpack(r["pos"], np.int32).astype(np.int64)
         total, first = np.cumsum(step), np.cumsum(n) - n
         pos.append(total - np.repeat(total[first] - step[first], n))
-        if hashes:
-            h.append(unpack(r["h"] + bytes(len(step)), U64))
-    cat = lambda x, kind=np.int64: np.concatenate(x) if x else np.zeros(0, kind)
-    return (cat(ids), cat(crcs), cat(pos), cat(h, U64)) if hashes else (cat(ids), cat(crcs), cat(pos))
+        origin.append(np.full(len(step), r["origin"], np.int64))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, crcs, pos, origin))
+
+
+def planes(h: np.ndarray, width: int) -> bytes:
+    """The lower width bytes of 64-bit hashes."""
+    return pack(h)[: width * len(h)]
 
 
-def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buckets: int):
+def unplanes(blobs: list[bytes], width: int) -> np.ndarray:
+    return np.concatenate([unpack(b + bytes((8 - width) * (len(b) // width)), U64) for b in blobs] or [np.zeros(0, U64)])
+
+
+def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buckets: int, origin: int = -1):
     """Blobs of places, by row bucket."""
     if not len(ids):
         return
@@ -101,7 +164,7 @@ def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buc
     heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield blob(kind, int(bucket[a]), doc[a:b], pos[a:b], ids[heads], crcs[heads])
+        yield blob(kind, int(bucket[a]), doc[a:b], pos[a:b], ids[heads], crcs[heads], origin=origin)
 
 
 def located(rid: np.ndarray, rcrc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray):
@@ -117,71 +180,137 @@ def located(rid: np.ndarray, rcrc: np.ndarray, pos: np.ndarray, ids: np.ndarray,
         yield pos[on], order[np.repeat(low + k, size)[on]]
 
 
-def table(rows, schema: list[str]) -> pa.Table:
-    kinds = {"kind": pa.int32(), "place": pa.int32()}
-    return pa.Table.from_pylist(list(rows), schema=pa.schema([(n, kinds.get(n, pa.binary())) for n in schema]))
-
-
-COLUMNS = ["kind", "place", "ids", "crcs", "n", "pos", "h"]
-
-
-def repeated(docs: DataFrame, span: int, group: int, bits: int, buckets: int) -> DataFrame:
-    """Blobs (kind 1, place: a row bucket) of the places of all windows that also start in a document with a smaller id. docs: keyed()."""
+COLUMNS = ["kind", "place", "origin", "ids", "crcs", "n", "pos", "h", "words"]
+
+
+def table(rows) -> pa.Table:
+    kinds = {"kind": pa.int32(), "place": pa.int32(), "origin": pa.int32()}
+    return pa.Table.from_pylist(list(rows), schema=pa.schema([(n, kinds.get(n, pa.binary())) for n in COLUMNS]))
+
+
+def settled(part: pa.RecordBatch, span: int, fingerprint: int):
+    """Of a slice's suffixes: hashes of words and of span words, first words of rows, places, rows, fingerprints, and whether
+    a row with a smaller id in the slice has the same words."""
+    ids = ints(part.column(0))
+    buf, off = text_buffer(part.column(2))
+    h, own, at = suffixes(buf, off, span)
+    whole = chained(h, span)[at]
+    key = whole & U64((1 << fingerprint) - 1)
+    doc = np.searchsorted(own, at, "right") - 1
+    lost = np.zeros(len(at), bool)
+    if len(at):
+        narrow = fingerprint <= 40 and len(at) < 1 << 24
+        tag = np.sort((key << U64(24)) | np.arange(len(at), dtype=U64)) if narrow else None
+        order = (tag & U64((1 << 24) - 1)).astype(np.int64) if narrow else np.argsort(key, kind="stable")
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        head, ranked = np.flatnonzero(new), ids[doc[order]]
+        least = of_runs(ranked, head)
+        first = of_runs(np.where(ranked == least, np.arange(len(order)), len(order)), head)
+        later = np.flatnonzero(ranked > least)
+        if len(later):
+            starts, ends, _ = word_bounds(buf, off)
+            word, _ = numbered(buf, starts, ends)
+            a, b = at[order[later]], at[order[first[later]]]
+            alike = np.ones(len(later), bool)
+            for j in range(span):
+                alike &= word[a + j] == word[b + j]
+            lost[order[later[alike]]] = True
+    return h, whole, own, at, doc, key, lost
+
+
+def repeated(docs: DataFrame, texts: DataFrame, span: int, group: int, bits: int, buckets: int, fingerprint: int) -> DataFrame:
+    """Blobs (kind 1, place: a row bucket) of the places of all windows that also start in a document with a smaller id.
+
+    docs: keyed(); texts: with their row buckets."""
     route = docs.sparkSession.sparkContext.broadcast(routes(docs, span, group, bits))
+    width = -(-fingerprint // 8)
 
     def scatter(batches):
-        place = route.value
         for b in batches:
             for part in slices(b, "text"):
                 ids, crcs = ints(part.column(0)), ints(part.column(1))
-                h, own, at = suffixes(*text_buffer(part.column(2)), span)
+                h, whole, own, at, doc, key, lost = settled(part, span, fingerprint)
                 if not len(at):
                     continue
-                key = chained(h, span)[at] & U64((1 << 56) - 1)
-                doc = np.searchsorted(own, at, "right") - 1
                 pos = at - own[doc]
-                to = np.full(len(at), -1, np.int32)
-                for d, bins in enumerate(prefixes(h, at, span, bits)):
-                    to = np.where(to < 0, place[d, bins], to)
-                # of equal suffixes here those of the least id go on; the sort key is 40 bits of the fingerprint and the place
-                tag = np.sort((key << U64(24)) | np.arange(len(key), dtype=U64)) if len(key) < 1 << 24 else None
-                order = (tag & U64((1 << 24) - 1)).astype(np.int64) if tag is not None else np.argsort(key, kind="stable")
-                sorted_key = key[order]
-                head = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
-                least = np.repeat(np.minimum.reduceat(ids[doc[order]], head), np.diff(head, append=len(order)))
-                lost = np.zeros(len(at), bool)
-                lost[order[ids[doc[order]] > least]] = True
-                yield from table(by_bucket(1, ids[doc[lost]], crcs[doc[lost]], pos[lost], buckets), COLUMNS).to_batches()
+                to = routed(h, at, span, bits, whole, route.value)
+                yield from table(by_bucket(1, ids[doc[lost]], crcs[doc[lost]], pos[lost], buckets)).to_batches()
                 rest = np.flatnonzero(~lost)
                 rest = rest[np.argsort(to[rest].astype(np.uint16) if to.max() < 1 << 16 else to[rest], kind="stable")]
                 cuts = np.flatnonzero(np.concatenate([[True], to[rest[1:]] != to[rest[:-1]], [True]]))
-                yield from table((blob(0, int(to[rest[a]]), doc[rest[a:z]], pos[rest[a:z]], ids, crcs, key[rest[a:z]]) for a, z in zip(cuts[:-1], cuts[1:])), COLUMNS).to_batches()
+                runs = [rest[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
+                yield from table(blob(0, int(to[r[0]]), doc[r], pos[r], ids, crcs, planes(key[r], width)) for r in runs).to_batches()
 
-    def subtree(t: pa.Table) -> pa.Table:
+    def candidates(t: pa.Table) -> pa.Table:
         if t.num_rows and t["kind"][0].as_py() == 1:
             return t
-        ids, crcs, pos, h = unblob(t, hashes=True)
+        ids, crcs, pos, _ = unblob(t)
+        h = unplanes(t["h"].to_pylist(), width)
         order = np.argsort(h, kind="stable")
-        sorted_h = h[order]
-        head = np.flatnonzero(np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]]))
-        least = np.repeat(np.minimum.reduceat(ids[order], head), np.diff(head, append=len(order)))
-        lost = order[ids[order] > least]
-        return table(by_bucket(1, ids[lost], crcs[lost], pos[lost], buckets), COLUMNS)
+        head = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
+        ranked = ids[order]
+        go = order[of_runs(ranked, head) < of_runs(ranked, head, np.maximum)]
+        return table(by_bucket(2, ids[go], crcs[go], pos[go], buckets, int(t["place"][0].as_py())))
+
+    found = written(docs.mapInArrow(scatter, BLOB).groupBy("kind", "place").applyInArrow(candidates, BLOB), "candidates")
+
+    def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        if left.num_rows and right.num_rows:
+            ids, crcs = ints(left["id"]), ints(left["crc"])
+            buf, off = text_buffer(left["text"])
+            starts, ends, own = word_bounds(buf, off)
+            rid, rcrc, pos, origin = unblob(right)
+            # rows that repeat (id, crc) have equal texts: the first one serves all
+            which, row = next(located(rid, rcrc, np.arange(len(rid)), ids, crcs))
+            pos, origin = pos[which], origin[which]
+            at = own[row] + pos
+            edge = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(edge, at, 1)
+            np.add.at(edge, at + span, -1)
+            used = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+            word = np.zeros(len(starts), np.int64)
+            word[used], vocabulary = numbered(buf, starts[used], ends[used])
+            order = np.lexsort((pos, row, origin))
+            cuts = np.flatnonzero(np.concatenate([[True], origin[order[1:]] != origin[order[:-1]], [True]]))
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                r = order[a:z]
+                names, code = np.unique(word[at[r] + np.arange(span)[:, None]], return_inverse=True)
+                codes = pack(code.reshape(-1).astype(np.uint32))
+                made.append(blob(0, int(origin[r[0]]), row[r], pos[r], ids, crcs, codes, b" ".join(vocabulary.take(names).to_pylist())))
+        return table(made)
 
-    return docs.mapInArrow(scatter, BLOB).groupBy("kind", "place").applyInArrow(subtree, BLOB)
-
-
-def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits: int = 14) -> DataFrame:
+    def subtree(t: pa.Table) -> pa.Table:
+        ids, crcs, pos, _ = unblob(t)
+        names = [w.split(b" ") for w in t["words"].to_pylist()]
+        number = pa.array([x for w in names for x in w], pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        words, base = [], 0
+        for w, codes in zip(names, t["h"].to_pylist()):
+            words.append(number[base + unpack(codes, np.uint32).astype(np.int64)].reshape(span, -1).T)
+            base += len(w)
+        order, common = leaves(np.concatenate(words))
+        ranked = ids[order]
+        lost = order[ranked > of_runs(ranked, np.flatnonzero(common < span))]
+        return table(by_bucket(1, ids[lost], crcs[lost], pos[lost], buckets))
+
+    asked = texts.groupBy("place").cogroup(found.where("kind = 2").groupBy("place")).applyInArrow(fetch, BLOB)
+    return found.where("kind = 1").unionByName(asked.groupBy("place").applyInArrow(subtree, BLOB))
+
+
+def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits: int = 14, fingerprint: int = 40) -> DataFrame:
     """For each row of docs: id, crc, n_words, n_removed and kept_text (kept words joined by one space).
 
     A word is removed if it is inside a window of span words that also starts in a document with a smaller doc_id; rows
     without doc_id come last and rows of one doc_id never remove one another. Null text: no words. Texts of fewer words
-    than span keep all."""
+    than span keep all. fingerprint: bits by which suffixes are held against others before their words are; results are the
+    same at any number."""
+    if not 1 <= fingerprint <= 64:
+        raise ValueError("fingerprint must be between 1 and 64")
     rows = keyed(docs)
     size = plan_bytes(docs)
     buckets = max(8, size // BUCKET_BYTES)
-    found = repeated(rows, span, group, bits, buckets)
     texts = rows.withColumn("place", F.expr(f"cast(pmod(xxhash64(id, crc), {buckets}L) as int)"))
+    found = repeated(rows, texts, span, group, bits, buckets, fingerprint)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, crcs = ints(left["id"]), ints(left["crc"])
@@ -189,7 +318,7 @@ def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits:
         starts, ends, own = word_bounds(buf, off)
         gone = np.zeros(len(starts) + 1, np.int64)
         if right.num_rows:
-            for at, which in located(*unblob(right), ids, crcs):
+            for at, which in located(*unblob(right)[:3], ids, crcs):
                 at = own[which] + at
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + span, -1)
