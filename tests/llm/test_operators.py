@@ -74,24 +74,28 @@ def test_substrings(docs, none, rows):
     same(substrings.query(docs).collect(), want)
     tight = substrings.deduplicated(docs, group=50, bits=6).select(kernel.real_id(), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
     same(tight, want)
-    # fingerprints that nearly all windows share: words alone decide
-    vain = substrings.deduplicated(docs, group=50, bits=4, fingerprint=3).select(kernel.real_id(), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256)).collect()
-    same(vain, want)
     assert substrings.query(none).count() == 0
 
 
-def test_subtree_leaves_are_sorted_suffixes():
+def test_deep_nodes_are_the_suffixes_that_several_documents_have():
     rng = np.random.default_rng(3)
-    for most in (2, 70000, 1 << 40):
-        words = rng.integers(0, most, (300, 13))
-        words[::3] = words[0]
-        words[1::5, :7] = words[1, :7]
-        order, common = substrings.leaves(words)
-        rows = [tuple(r) for r in words[order].tolist()]
-        assert rows == sorted(map(tuple, words.tolist()))
-        assert common[0] == 0
-        for a, b, n in zip(rows, rows[1:], common[1:]):
-            assert n == next((k for k in range(13) if a[k] != b[k]), 13)
+    for most in (1, 2, 70000, 1 << 40):
+        word = rng.integers(0, most, 900)
+        word[100:140], word[500:540], word[700:713] = word[20:60], word[20:60], word[25:38]
+        at = np.flatnonzero(np.arange(900) % 100 <= 87)
+        ids = at // 100
+        live, head = substrings.deep_nodes(word, at, ids, 13)
+        got = sorted(sorted(x.tolist()) for x in np.split(live, head[1:]) if len(x))
+        want = {}
+        for k, a in enumerate(at):
+            want.setdefault(tuple(word[a : a + 13]), []).append(k)
+        assert got == sorted(x for x in want.values() if len({int(ids[k]) for k in x}) > 1)
+
+
+def test_equal_hashes_of_other_words_settle_nothing():
+    word = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    lost = substrings.settled(np.zeros(3, np.uint64), np.array([0, 3, 6]), np.array([5, 7, 9]), word, 3)
+    assert lost.tolist() == [False, False, True]
 
 
 def test_bins_of_the_last_depth_split_by_their_size(spark):

@@ -1,33 +1,35 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
 A suffix starts at a word and is cut after `span` words, as nodes below that depth decide nothing. Suffixes are split by
-variable-length prefixes into groups of about `group` suffixes: one scan counts suffixes by the hash of their first 1, 2,
-4 and `span` words, and a suffix goes by its shortest prefix whose count fits a group. A prefix of `span` words whose bin
-still holds more is split by further bits of its hash, so that the number of groups follows that of suffixes.
-
-Most suffixes occur once, and their words need not travel. So a group first gets fingerprints, and leaves out suffixes
-whose fingerprint no other document has: these are leaves below no deep node. The words of the others are fetched from
-their documents, as numbers into a small vocabulary, and each group builds its subtree: leaves in order of their words,
-with the lengths of common prefixes of neighbours. Runs of neighbours with `span` common words are the deep internal
-nodes; leaves of a node in a document other than the node's least are removed, and successive ones make up the maximal
-repeats. Equal fingerprints decide nothing by themselves, so their width only sets how many words are fetched in vain.
+variable-length prefixes into groups of about `group` suffixes. The prefix is not the suffix's own, by which each would
+travel alone with all its words, but that of its anchor: the place among its words whose next four have the least hash.
+Equal suffixes have equal anchors, and successive suffixes mostly share theirs, so they travel as one run of words. One
+scan counts suffixes by the hash of the first 1, 2 and 4 words from their anchor, and a suffix goes by the shortest prefix
+whose count fits a group. Suffixes of a bin of four words that still holds more are split by the hash of all their words,
+so that the number of groups follows that of suffixes.
+
+Each group builds its subtree from the root down, by the words themselves: a node's suffixes are sorted by their next
+words, which gives its children; leaves and nodes of one document are left there, as they decide nothing. What is left at
+the depth of `span` words are the deep internal nodes. Their leaves in other documents than the node's least are removed,
+and successive ones make up the maximal repeats. Hashes only say where suffixes meet.
 
 Before the shuffle a task keeps, of suffixes in its block with equal words, those of the least document; the others are
-already decided. So a passage in a third of all documents reaches its group once for each block. Suffixes travel as blobs
-of byte planes. The decided places come back to the documents by row buckets of bounded size.
+already decided. So a passage in a third of all documents reaches its group once for each block. Runs travel as blobs of
+byte planes. The decided places come back to the documents by row buckets of bounded size.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, chained, ints, keyed, mix, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds, written
+from .kernel import U64, chained, ints, keyed, mix, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds
 
 DEPTHS = (1, 2, 4)
-BLOB = "kind int, place int, origin int, ids binary, crcs binary, n binary, pos binary, h binary, words binary"
+BLOB = "kind int, place int, ids binary, crcs binary, n binary, pos binary, size binary, code binary, words binary"
 #: Bytes of files for each row bucket in the last stage.
 BUCKET_BYTES = 8 << 20
 
@@ -41,15 +43,24 @@ def suffixes(buf: np.ndarray, off: np.ndarray, span: int):
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, span: int, bits: int) -> list[np.ndarray]:
-    """For each depth the bin of every suffix's prefix; the last is that of its first span words."""
-    return [(chained(h ^ U64(0x5851F42D4C957F2D), d)[at] >> U64(64 - bits)).astype(np.int64) for d in (*DEPTHS, span)]
+    """For each depth the bin of every suffix's prefix, which starts at its anchor."""
+    depths = [d for d in DEPTHS if d <= span]
+    least = chained(h, depths[-1])
+    place, have, wide = np.arange(len(least)), 1, span - depths[-1] + 1
+    while have < wide and len(least):
+        step = min(have, wide - have)
+        later = least[step:] < least[:-step]
+        least = np.where(later, least[step:], least[:-step])
+        place = np.where(later, place[step:], place[:-step])
+        have += step
+    return [(chained(h ^ U64(0x5851F42D4C957F2D), d)[place[at]] >> U64(64 - bits)).astype(np.int64) for d in depths]
 
 
 def routes(docs: DataFrame, span: int, group: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The group of each (depth, bin), -1 where suffixes go by a longer prefix, and how many groups a bin of the last depth has."""
 
     def count(batches):
-        total = np.zeros((len(DEPTHS) + 1, 1 << bits), np.int64)
+        total = np.zeros((len([d for d in DEPTHS if d <= span]), 1 << bits), np.int64)
         for b in batches:
             for part in slices(b, "text"):
                 h, _, at = suffixes(*text_buffer(part.column(2)), span)
@@ -59,7 +70,7 @@ def routes(docs: DataFrame, span: int, group: int, bits: int) -> tuple[np.ndarra
         yield pa.RecordBatch.from_pydict({"d": d.astype(np.int32), "bin": bins.astype(np.int32), "n": total[d, bins]})
 
     got = docs.mapInArrow(count, "d int, bin int, n long").groupBy("d", "bin").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros((len(DEPTHS) + 1, 1 << bits), np.int64)
+    total = np.zeros((len([d for d in DEPTHS if d <= span]), 1 << bits), np.int64)
     if got.num_rows:
         total[ints(got["d"]), ints(got["bin"])] = ints(got["n"])
     place, pieces, first = np.full(total.shape, -1, np.int32), -(-total[-1] // group), 0
@@ -74,7 +85,7 @@ def routes(docs: DataFrame, span: int, group: int, bits: int) -> tuple[np.ndarra
 
 
 def routed(h: np.ndarray, at: np.ndarray, span: int, bits: int, whole: np.ndarray, route) -> np.ndarray:
-    """The group of each suffix. whole: hashes of their first span words, of which the upper 24 bits split large bins."""
+    """The group of each suffix. whole: hashes of all their words, which split large bins."""
     place, pieces = route
     to = np.full(len(at), -1, np.int64)
     bins = prefixes(h, at, span, bits)
@@ -94,66 +105,78 @@ def numbered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
 
 
-def leaves(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of suffixes (rows of word numbers) and, by place in it, the words in common with the leaf before."""
-    n, span = words.shape
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide = max(1, int(words.max()).bit_length())
-    keys = []
-    for a in range(0, span, 64 // wide):
-        key = np.zeros(n, U64)
-        for column in words[:, a : a + 64 // wide].T:
-            key = (key << U64(wide)) | column.astype(U64)
-        keys.append(key)
-    order = np.lexsort(keys[::-1])
-    common, alike = np.zeros(n, np.int64), np.ones(n - 1, bool)
-    for column in words.T:
-        column = column[order]
-        alike &= column[1:] == column[:-1]
-        common[1:] += alike
-    return order, common
-
-
 def of_runs(ids: np.ndarray, head: np.ndarray, which=np.minimum) -> np.ndarray:
     """By row the least (or largest) id of its run; head: first rows of runs."""
     return np.repeat(which.reduceat(ids, head), np.diff(head, append=len(ids))) if len(ids) else ids
 
 
-def blob(kind: int, place: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray, h: bytes = b"", words: bytes = b"", origin: int = -1) -> dict:
+def deep_nodes(word: np.ndarray, at: np.ndarray, ids: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leaves (indexes of at) below nodes of span words that hold several ids, by node, and the first leaf of each node.
+
+    word: numbers of words; a suffix is the span of them from at on. Level by level, several words a level."""
+    wide = max(1, int(word.max(initial=0)).bit_length())
+    live, node, depth = np.arange(len(at)), np.zeros(len(at), U64), 0
+    head = np.zeros(min(1, len(at)), np.int64)
+    while depth < span and len(live):
+        many = max(1, (64 - int(node[-1]).bit_length()) // wide)
+        for _ in range(min(many, span - depth)):
+            node = (node << U64(wide)) | word[at[live] + depth].astype(U64)
+            depth += 1
+        order = np.argsort(node, kind="stable")
+        live, node = live[order], node[order]
+        head = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        keep = of_runs(ids[live], head) < of_runs(ids[live], head, np.maximum)
+        live, node = live[keep], node[keep]
+        new = np.concatenate([[True], node[1:] != node[:-1]])[: len(node)]
+        head, node = np.flatnonzero(new), np.cumsum(new).astype(U64)
+    return live, head
+
+
+def blob(kind: int, place: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray, size: bytes = b"", code: bytes = b"", words: bytes = b"") -> dict:
     """Rows in order of doc: documents once with their numbers of rows, places as differences."""
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     step = np.diff(pos, prepend=0)
     step[first] = pos[first]
     counts = np.diff(first, append=len(doc)).astype(np.uint32)
     places = {"ids": pack(ids[doc[first]]), "crcs": pack(crcs[doc[first]].astype(np.uint32)), "n": pack(counts), "pos": pack(step.astype(np.int32))}
-    return {"kind": kind, "place": place, "origin": origin, **places, "h": h, "words": words}
+    return {"kind": kind, "place": place, **places, "size": size, "code": code, "words": words}
 
 
 def unblob(t: pa.Table):
-    """ids, crcs, pos and origin of all rows of the blobs, by row."""
-    ids, crcs, pos, origin = [], [], [], []
-    for r in t.select(["ids", "crcs", "n", "pos", "origin"]).to_pylist():
+    """ids, crcs and pos of all rows of the blobs, by row."""
+    ids, crcs, pos = [], [], []
+    for r in t.select(["ids", "crcs", "n", "pos"]).to_pylist():
         n = unpack(r["n"], np.uint32).astype(np.int64)
         ids.append(np.repeat(unpack(r["ids"], np.int64), n))
         crcs.append(np.repeat(unpack(r["crcs"], np.uint32), n).astype(np.int64))
         step = unpack(r["pos"], np.int32).astype(np.int64)
         total, first = np.cumsum(step), np.cumsum(n) - n
         pos.append(total - np.repeat(total[first] - step[first], n))
-        origin.append(np.full(len(step), r["origin"], np.int64))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, crcs, pos, origin))
-
-
-def planes(h: np.ndarray, width: int) -> bytes:
-    """The lower width bytes of 64-bit hashes."""
-    return pack(h)[: width * len(h)]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, crcs, pos))
 
 
-def unplanes(blobs: list[bytes], width: int) -> np.ndarray:
-    return np.concatenate([unpack(b + bytes((8 - width) * (len(b) // width)), U64) for b in blobs] or [np.zeros(0, U64)])
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of n values each, one after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buckets: int, origin: int = -1):
+def runs(to: np.ndarray, at: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray, word: np.ndarray, vocabulary: pa.Array, span: int):
+    """Blobs (kind 0) of the runs of successive suffixes of one document and one group, with their words."""
+    if not len(at):
+        return
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1]) | (to[1:] != to[:-1])]))
+    size = np.diff(first, append=len(at))
+    order = np.argsort(to[first], kind="stable")
+    first, size = first[order], size[order]
+    cuts = np.flatnonzero(np.concatenate([[True], to[first[1:]] != to[first[:-1]], [True]]))
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        own, n = first[a:z], size[a:z]
+        code, names = pd.factorize(word[spread(at[own], n + span - 1)])
+        words = b" ".join(vocabulary.take(pa.array(names)).to_pylist())
+        yield blob(0, int(to[own[0]]), doc[own], pos[own], ids, crcs, pack(n.astype(np.uint32)), pack(code.astype(np.uint32)), words)
+
+
+def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buckets: int):
     """Blobs of places, by row bucket."""
     if not len(ids):
         return
@@ -164,7 +187,7 @@ def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buc
     heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield blob(kind, int(bucket[a]), doc[a:b], pos[a:b], ids[heads], crcs[heads], origin=origin)
+        yield blob(kind, int(bucket[a]), doc[a:b], pos[a:b], ids[heads], crcs[heads])
 
 
 def located(rid: np.ndarray, rcrc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray):
@@ -180,137 +203,87 @@ def located(rid: np.ndarray, rcrc: np.ndarray, pos: np.ndarray, ids: np.ndarray,
         yield pos[on], order[np.repeat(low + k, size)[on]]
 
 
-COLUMNS = ["kind", "place", "origin", "ids", "crcs", "n", "pos", "h", "words"]
+COLUMNS = ["kind", "place", "ids", "crcs", "n", "pos", "size", "code", "words"]
 
 
 def table(rows) -> pa.Table:
-    kinds = {"kind": pa.int32(), "place": pa.int32(), "origin": pa.int32()}
+    kinds = {"kind": pa.int32(), "place": pa.int32()}
     return pa.Table.from_pylist(list(rows), schema=pa.schema([(n, kinds.get(n, pa.binary())) for n in COLUMNS]))
 
 
-def settled(part: pa.RecordBatch, span: int, fingerprint: int):
-    """Of a slice's suffixes: hashes of words and of span words, first words of rows, places, rows, fingerprints, and whether
-    a row with a smaller id in the slice has the same words."""
-    ids = ints(part.column(0))
-    buf, off = text_buffer(part.column(2))
-    h, own, at = suffixes(buf, off, span)
-    whole = chained(h, span)[at]
-    key = whole & U64((1 << fingerprint) - 1)
-    doc = np.searchsorted(own, at, "right") - 1
+def settled(whole: np.ndarray, at: np.ndarray, ids: np.ndarray, word: np.ndarray, span: int) -> np.ndarray:
+    """Of suffixes in a block, with hashes of their words and ids, whether one of a smaller id has the same words."""
     lost = np.zeros(len(at), bool)
-    if len(at):
-        narrow = fingerprint <= 40 and len(at) < 1 << 24
-        tag = np.sort((key << U64(24)) | np.arange(len(at), dtype=U64)) if narrow else None
-        order = (tag & U64((1 << 24) - 1)).astype(np.int64) if narrow else np.argsort(key, kind="stable")
-        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-        head, ranked = np.flatnonzero(new), ids[doc[order]]
-        least = of_runs(ranked, head)
-        first = of_runs(np.where(ranked == least, np.arange(len(order)), len(order)), head)
-        later = np.flatnonzero(ranked > least)
-        if len(later):
-            starts, ends, _ = word_bounds(buf, off)
-            word, _ = numbered(buf, starts, ends)
-            a, b = at[order[later]], at[order[first[later]]]
-            alike = np.ones(len(later), bool)
-            for j in range(span):
-                alike &= word[a + j] == word[b + j]
-            lost[order[later[alike]]] = True
-    return h, whole, own, at, doc, key, lost
-
-
-def repeated(docs: DataFrame, texts: DataFrame, span: int, group: int, bits: int, buckets: int, fingerprint: int) -> DataFrame:
-    """Blobs (kind 1, place: a row bucket) of the places of all windows that also start in a document with a smaller id.
-
-    docs: keyed(); texts: with their row buckets."""
+    if len(at) < 2:
+        return lost
+    narrow = len(at) < 1 << 24
+    tag = np.sort((whole << U64(24)) | np.arange(len(at), dtype=U64)) if narrow else None
+    order = (tag & U64((1 << 24) - 1)).astype(np.int64) if narrow else np.argsort(whole, kind="stable")
+    head, ranked = np.flatnonzero(np.concatenate([[True], whole[order[1:]] != whole[order[:-1]]])), ids[order]
+    least = of_runs(ranked, head)
+    first = of_runs(np.where(ranked == least, np.arange(len(order)), len(order)), head)
+    later = np.flatnonzero(ranked > least)
+    a, b = at[order[later]], at[order[first[later]]]
+    alike = np.ones(len(later), bool)
+    for j in range(span):
+        alike &= word[a + j] == word[b + j]
+    lost[order[later[alike]]] = True
+    return lost
+
+
+def repeated(docs: DataFrame, span: int, group: int, bits: int, buckets: int) -> DataFrame:
+    """Blobs (kind 1, place: a row bucket) of the places of all windows that also start in a document with a smaller id. docs: keyed()."""
     route = docs.sparkSession.sparkContext.broadcast(routes(docs, span, group, bits))
-    width = -(-fingerprint // 8)
 
     def scatter(batches):
         for b in batches:
             for part in slices(b, "text"):
                 ids, crcs = ints(part.column(0)), ints(part.column(1))
-                h, whole, own, at, doc, key, lost = settled(part, span, fingerprint)
+                buf, off = text_buffer(part.column(2))
+                starts, ends, _ = word_bounds(buf, off)
+                h, own, at = suffixes(buf, off, span)
                 if not len(at):
                     continue
+                word, vocabulary = numbered(buf, starts, ends)
+                whole = chained(h, span)[at]
+                doc = np.searchsorted(own, at, "right") - 1
                 pos = at - own[doc]
-                to = routed(h, at, span, bits, whole, route.value)
+                lost = settled(whole, at, ids[doc], word, span)
                 yield from table(by_bucket(1, ids[doc[lost]], crcs[doc[lost]], pos[lost], buckets)).to_batches()
-                rest = np.flatnonzero(~lost)
-                rest = rest[np.argsort(to[rest].astype(np.uint16) if to.max() < 1 << 16 else to[rest], kind="stable")]
-                cuts = np.flatnonzero(np.concatenate([[True], to[rest[1:]] != to[rest[:-1]], [True]]))
-                runs = [rest[a:z] for a, z in zip(cuts[:-1], cuts[1:])]
-                yield from table(blob(0, int(to[r[0]]), doc[r], pos[r], ids, crcs, planes(key[r], width)) for r in runs).to_batches()
+                go = ~lost
+                to = routed(h, at, span, bits, whole, route.value)[go]
+                yield from table(runs(to, at[go], doc[go], pos[go], ids, crcs, word, vocabulary, span)).to_batches()
 
-    def candidates(t: pa.Table) -> pa.Table:
+    def subtree(t: pa.Table) -> pa.Table:
         if t.num_rows and t["kind"][0].as_py() == 1:
             return t
-        ids, crcs, pos, _ = unblob(t)
-        h = unplanes(t["h"].to_pylist(), width)
-        order = np.argsort(h, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
-        ranked = ids[order]
-        go = order[of_runs(ranked, head) < of_runs(ranked, head, np.maximum)]
-        return table(by_bucket(2, ids[go], crcs[go], pos[go], buckets, int(t["place"][0].as_py())))
-
-    found = written(docs.mapInArrow(scatter, BLOB).groupBy("kind", "place").applyInArrow(candidates, BLOB), "candidates")
-
-    def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
-        made = []
-        if left.num_rows and right.num_rows:
-            ids, crcs = ints(left["id"]), ints(left["crc"])
-            buf, off = text_buffer(left["text"])
-            starts, ends, own = word_bounds(buf, off)
-            rid, rcrc, pos, origin = unblob(right)
-            # rows that repeat (id, crc) have equal texts: the first one serves all
-            which, row = next(located(rid, rcrc, np.arange(len(rid)), ids, crcs))
-            pos, origin = pos[which], origin[which]
-            at = own[row] + pos
-            edge = np.zeros(len(starts) + 1, np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + span, -1)
-            used = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-            word = np.zeros(len(starts), np.int64)
-            word[used], vocabulary = numbered(buf, starts[used], ends[used])
-            order = np.lexsort((pos, row, origin))
-            cuts = np.flatnonzero(np.concatenate([[True], origin[order[1:]] != origin[order[:-1]], [True]]))
-            for a, z in zip(cuts[:-1], cuts[1:]):
-                r = order[a:z]
-                names, code = np.unique(word[at[r] + np.arange(span)[:, None]], return_inverse=True)
-                codes = pack(code.reshape(-1).astype(np.uint32))
-                made.append(blob(0, int(origin[r[0]]), row[r], pos[r], ids, crcs, codes, b" ".join(vocabulary.take(names).to_pylist())))
-        return table(made)
-
-    def subtree(t: pa.Table) -> pa.Table:
-        ids, crcs, pos, _ = unblob(t)
+        ids, crcs, pos = unblob(t)
         names = [w.split(b" ") for w in t["words"].to_pylist()]
         number = pa.array([x for w in names for x in w], pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        words, base = [], 0
-        for w, codes in zip(names, t["h"].to_pylist()):
-            words.append(number[base + unpack(codes, np.uint32).astype(np.int64)].reshape(span, -1).T)
-            base += len(w)
-        order, common = leaves(np.concatenate(words))
-        ranked = ids[order]
-        lost = order[ranked > of_runs(ranked, np.flatnonzero(common < span))]
+        base = np.cumsum([0, *map(len, names)])
+        word = np.concatenate([number[k + unpack(c, np.uint32).astype(np.int64)] for k, c in zip(base, t["code"].to_pylist())])
+        size = np.concatenate([unpack(n, np.uint32) for n in t["size"].to_pylist()]).astype(np.int64)
+        begin = np.cumsum(size + span - 1) - (size + span - 1)
+        ids, crcs, pos, at = np.repeat(ids, size), np.repeat(crcs, size), spread(pos, size), spread(begin, size)
+        live, head = deep_nodes(word, at, ids, span)
+        ranked = ids[live]
+        lost = live[ranked > of_runs(ranked, head)]
         return table(by_bucket(1, ids[lost], crcs[lost], pos[lost], buckets))
 
-    asked = texts.groupBy("place").cogroup(found.where("kind = 2").groupBy("place")).applyInArrow(fetch, BLOB)
-    return found.where("kind = 1").unionByName(asked.groupBy("place").applyInArrow(subtree, BLOB))
+    return docs.mapInArrow(scatter, BLOB).groupBy("kind", "place").applyInArrow(subtree, BLOB)
 
 
-def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits: int = 14, fingerprint: int = 40) -> DataFrame:
+def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits: int = 14) -> DataFrame:
     """For each row of docs: id, crc, n_words, n_removed and kept_text (kept words joined by one space).
 
     A word is removed if it is inside a window of span words that also starts in a document with a smaller doc_id; rows
     without doc_id come last and rows of one doc_id never remove one another. Null text: no words. Texts of fewer words
-    than span keep all. fingerprint: bits by which suffixes are held against others before their words are; results are the
-    same at any number."""
-    if not 1 <= fingerprint <= 64:
-        raise ValueError("fingerprint must be between 1 and 64")
+    than span keep all."""
     rows = keyed(docs)
     size = plan_bytes(docs)
     buckets = max(8, size // BUCKET_BYTES)
+    found = repeated(rows, span, group, bits, buckets)
     texts = rows.withColumn("place", F.expr(f"cast(pmod(xxhash64(id, crc), {buckets}L) as int)"))
-    found = repeated(rows, texts, span, group, bits, buckets, fingerprint)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, crcs = ints(left["id"]), ints(left["crc"])
@@ -318,7 +291,7 @@ def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits:
         starts, ends, own = word_bounds(buf, off)
         gone = np.zeros(len(starts) + 1, np.int64)
         if right.num_rows:
-            for at, which in located(*unblob(right)[:3], ids, crcs):
+            for at, which in located(*unblob(right), ids, crcs):
                 at = own[which] + at
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + span, -1)
