@@ -8,6 +8,11 @@ scan counts suffixes by the hash of the first 1, 2 and 4 words from their anchor
 whose count fits a group. Suffixes of a bin of four words that still holds more are split by the hash of all their words,
 so that the number of groups follows that of suffixes.
 
+Most suffixes occur once, and their words need not travel. So a group first gets fingerprints of FINGERPRINT bits, and
+leaves out suffixes whose fingerprint no other document has: these are leaves below no deep node. The runs of the others
+are fetched from their documents with their words. Fingerprints decide nothing else: of a group's suffixes one in some
+thousands is fetched in vain.
+
 Each group builds its subtree from the root down, by the words themselves: a node's suffixes are sorted by their next
 words, which gives its children; leaves and nodes of one document are left there, as they decide nothing. What is left at
 the depth of `span` words are the deep internal nodes. Their leaves in other documents than the node's least are removed,
@@ -20,16 +25,20 @@ byte planes. The decided places come back to the documents by row buckets of bou
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U64, chained, ints, keyed, mix, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds
+from .kernel import U64, chained, ints, keyed, mix, pack, plan_bytes, real_id, row_bucket, slices, span_hash, text_buffer, unpack, word_bounds, written
 
 DEPTHS = (1, 2, 4)
-BLOB = "kind int, place int, ids binary, crcs binary, n binary, pos binary, size binary, code binary, words binary"
+#: Bits by which suffixes of a group are held against one another before their words are.
+FINGERPRINT = 32
+BLOB = "kind int, place int, origin int, ids binary, crcs binary, n binary, pos binary, size binary, code binary, words binary"
 #: Bytes of files for each row bucket in the last stage.
 BUCKET_BYTES = 8 << 20
 
@@ -132,14 +141,14 @@ def deep_nodes(word: np.ndarray, at: np.ndarray, ids: np.ndarray, span: int) ->
     return live, head
 
 
-def blob(kind: int, place: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray, size: bytes = b"", code: bytes = b"", words: bytes = b"") -> dict:
+def blob(kind: int, place: int, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray, size: bytes = b"", code: bytes = b"", words: bytes = b"", origin: int = -1) -> dict:
     """Rows in order of doc: documents once with their numbers of rows, places as differences."""
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     step = np.diff(pos, prepend=0)
     step[first] = pos[first]
     counts = np.diff(first, append=len(doc)).astype(np.uint32)
     places = {"ids": pack(ids[doc[first]]), "crcs": pack(crcs[doc[first]].astype(np.uint32)), "n": pack(counts), "pos": pack(step.astype(np.int32))}
-    return {"kind": kind, "place": place, **places, "size": size, "code": code, "words": words}
+    return {"kind": kind, "place": place, "origin": origin, **places, "size": size, "code": code, "words": words}
 
 
 def unblob(t: pa.Table):
@@ -172,11 +181,11 @@ def runs(to: np.ndarray, at: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids:
     for a, z in zip(cuts[:-1], cuts[1:]):
         own, n = first[a:z], size[a:z]
         code, names = pd.factorize(word[spread(at[own], n + span - 1)])
-        words = b" ".join(vocabulary.take(pa.array(names)).to_pylist())
+        words = zlib.compress(b" ".join(vocabulary.take(pa.array(names)).to_pylist()), 1)
         yield blob(0, int(to[own[0]]), doc[own], pos[own], ids, crcs, pack(n.astype(np.uint32)), pack(code.astype(np.uint32)), words)
 
 
-def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buckets: int):
+def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buckets: int, origin: int = -1):
     """Blobs of places, by row bucket."""
     if not len(ids):
         return
@@ -187,7 +196,7 @@ def by_bucket(kind: int, ids: np.ndarray, crcs: np.ndarray, pos: np.ndarray, buc
     heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
-        yield blob(kind, int(bucket[a]), doc[a:b], pos[a:b], ids[heads], crcs[heads])
+        yield blob(kind, int(bucket[a]), doc[a:b], pos[a:b], ids[heads], crcs[heads], origin=origin)
 
 
 def located(rid: np.ndarray, rcrc: np.ndarray, pos: np.ndarray, ids: np.ndarray, crcs: np.ndarray):
@@ -203,11 +212,11 @@ def located(rid: np.ndarray, rcrc: np.ndarray, pos: np.ndarray, ids: np.ndarray,
         yield pos[on], order[np.repeat(low + k, size)[on]]
 
 
-COLUMNS = ["kind", "place", "ids", "crcs", "n", "pos", "size", "code", "words"]
+COLUMNS = ["kind", "place", "origin", "ids", "crcs", "n", "pos", "size", "code", "words"]
 
 
 def table(rows) -> pa.Table:
-    kinds = {"kind": pa.int32(), "place": pa.int32()}
+    kinds = {"kind": pa.int32(), "place": pa.int32(), "origin": pa.int32()}
     return pa.Table.from_pylist(list(rows), schema=pa.schema([(n, kinds.get(n, pa.binary())) for n in COLUMNS]))
 
 
@@ -231,8 +240,10 @@ def settled(whole: np.ndarray, at: np.ndarray, ids: np.ndarray, word: np.ndarray
     return lost
 
 
-def repeated(docs: DataFrame, span: int, group: int, bits: int, buckets: int) -> DataFrame:
-    """Blobs (kind 1, place: a row bucket) of the places of all windows that also start in a document with a smaller id. docs: keyed()."""
+def repeated(docs: DataFrame, texts: DataFrame, span: int, group: int, bits: int, buckets: int) -> DataFrame:
+    """Blobs (kind 1, place: a row bucket) of the places of all windows that also start in a document with a smaller id.
+
+    docs: keyed(); texts: with their row buckets."""
     route = docs.sparkSession.sparkContext.broadcast(routes(docs, span, group, bits))
 
     def scatter(batches):
@@ -244,21 +255,58 @@ def repeated(docs: DataFrame, span: int, group: int, bits: int, buckets: int) ->
                 h, own, at = suffixes(buf, off, span)
                 if not len(at):
                     continue
-                word, vocabulary = numbered(buf, starts, ends)
+                word, _ = numbered(buf, starts, ends)
                 whole = chained(h, span)[at]
                 doc = np.searchsorted(own, at, "right") - 1
                 pos = at - own[doc]
                 lost = settled(whole, at, ids[doc], word, span)
                 yield from table(by_bucket(1, ids[doc[lost]], crcs[doc[lost]], pos[lost], buckets)).to_batches()
-                go = ~lost
-                to = routed(h, at, span, bits, whole, route.value)[go]
-                yield from table(runs(to, at[go], doc[go], pos[go], ids, crcs, word, vocabulary, span)).to_batches()
-
-    def subtree(t: pa.Table) -> pa.Table:
+                to = routed(h, at, span, bits, whole, route.value)
+                key = (whole & U64((1 << FINGERPRINT) - 1)).astype(np.uint32)
+                rest = np.flatnonzero(~lost)
+                rest = rest[np.argsort(to[rest].astype(np.uint16) if to.max() < 1 << 16 else to[rest], kind="stable")]
+                cuts = np.flatnonzero(np.concatenate([[True], to[rest[1:]] != to[rest[:-1]], [True]]))
+                own_rows = (rest[a:z] for a, z in zip(cuts[:-1], cuts[1:]))
+                yield from table(blob(0, int(to[r[0]]), doc[r], pos[r], ids, crcs, code=pack(key[r])) for r in own_rows).to_batches()
+
+    def candidates(t: pa.Table) -> pa.Table:
         if t.num_rows and t["kind"][0].as_py() == 1:
             return t
         ids, crcs, pos = unblob(t)
-        names = [w.split(b" ") for w in t["words"].to_pylist()]
+        key = np.concatenate([unpack(c, np.uint32) for c in t["code"].to_pylist()])
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], key[order[1:]] != key[order[:-1]]]))
+        ranked = ids[order]
+        go = order[of_runs(ranked, head) < of_runs(ranked, head, np.maximum)]
+        return table(by_bucket(2, ids[go], crcs[go], pos[go], buckets, int(t["place"][0].as_py())))
+
+    found = written(docs.mapInArrow(scatter, BLOB).groupBy("kind", "place").applyInArrow(candidates, BLOB), "candidates")
+
+    def fetch(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return table([])
+        ids, crcs = ints(left["id"]), ints(left["crc"])
+        buf, off = text_buffer(left["text"])
+        starts, ends, own = word_bounds(buf, off)
+        rid, rcrc, pos = unblob(right)
+        counts = [int(unpack(n, np.uint32).sum()) for n in right["n"].to_pylist()]
+        origin = np.repeat(ints(right["origin"]).astype(np.int64), counts)
+        # rows that repeat (id, crc) have equal texts: the first one serves all
+        which, row = next(located(rid, rcrc, np.arange(len(rid)), ids, crcs))
+        order = np.lexsort((pos[which], row))
+        row, pos, origin = row[order], pos[which[order]], origin[which[order]]
+        at = own[row] + pos
+        edge = np.zeros(len(starts) + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + span, -1)
+        used = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+        word = np.zeros(len(starts), np.int64)
+        word[used], vocabulary = numbered(buf, starts[used], ends[used])
+        return table(runs(origin, at, row, pos, ids, crcs, word, vocabulary, span))
+
+    def subtree(t: pa.Table) -> pa.Table:
+        ids, crcs, pos = unblob(t)
+        names = [zlib.decompress(w).split(b" ") for w in t["words"].to_pylist()]
         number = pa.array([x for w in names for x in w], pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False)
         base = np.cumsum([0, *map(len, names)])
         word = np.concatenate([number[k + unpack(c, np.uint32).astype(np.int64)] for k, c in zip(base, t["code"].to_pylist())])
@@ -270,7 +318,8 @@ def repeated(docs: DataFrame, span: int, group: int, bits: int, buckets: int) ->
         lost = live[ranked > of_runs(ranked, head)]
         return table(by_bucket(1, ids[lost], crcs[lost], pos[lost], buckets))
 
-    return docs.mapInArrow(scatter, BLOB).groupBy("kind", "place").applyInArrow(subtree, BLOB)
+    asked = texts.groupBy("place").cogroup(found.where("kind = 2").groupBy("place")).applyInArrow(fetch, BLOB)
+    return found.where("kind = 1").unionByName(asked.groupBy("place").applyInArrow(subtree, BLOB))
 
 
 def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits: int = 14) -> DataFrame:
@@ -282,8 +331,8 @@ def deduplicated(docs: DataFrame, span: int = 13, group: int = 1_500_000, bits:
     rows = keyed(docs)
     size = plan_bytes(docs)
     buckets = max(8, size // BUCKET_BYTES)
-    found = repeated(rows, span, group, bits, buckets)
     texts = rows.withColumn("place", F.expr(f"cast(pmod(xxhash64(id, crc), {buckets}L) as int)"))
+    found = repeated(rows, texts, span, group, bits, buckets)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, crcs = ints(left["id"]), ints(left["crc"])
