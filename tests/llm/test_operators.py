@@ -217,6 +217,54 @@ def test_near_copies_leave_the_pipeline(spark):
     assert {k for k in kept if k >= 5000} == {5000, 9000, 9002}
 
 
+def test_near_copies_among_many_that_share_most(spark, monkeypatch):
+    """Each of 120 pairs is alike by about 0.8, and by about 0.65 to all others: each lies within the radius of most."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(29)
+    base, rows = [f"w{i}" for i in rng.integers(0, 4000, 300)], []
+    for k in range(120):
+        w = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            w[at] = f"x{k} {at}"
+        rows.append((k, " ".join(w)))
+        for at in rng.choice(300, 6, replace=False):
+            w[at] = f"y{k} {at}"
+        rows.append((1000 + k, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if g in (a, b) else g for g in root]
+    want = {min(rows[i][0] for i in range(len(rows)) if root[i] == g) for g in set(root)}
+    assert 100 < len(want) < 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "CELL", 100, raising=False)
+    monkeypatch.setattr(simhash, "HASHES", 20_000, raising=False)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+def test_carry_save_counters_of_wide_fingerprints():
+    rng = np.random.default_rng(30)
+    fps = rng.integers(0, 2**63, (150, 2)).astype(np.uint64)
+    for r in range(1, 150, 2):
+        fps[r] = fps[r - 1]
+        for b in rng.choice(128, int(rng.integers(0, 60)), replace=False):
+            fps[r, b // 64] ^= np.uint64(1 << int(b % 64))
+    size = np.sort(rng.integers(50, 100, 150))
+    far = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2)
+    for radius in (0, 34, 63, 128, 300):
+        for other, same in ((slice(None), True), (slice(0, None, 3), False)):
+            got = [(a, b) for i, j in simhash.close(fps, fps[other], size, size[other], same, 0.8, radius) for a, b in zip(i.tolist(), j.tolist())]
+            i, j = np.nonzero(far[:, other] <= radius)
+            good = np.minimum(size[i], size[other][j]) >= 0.8 * np.maximum(size[i], size[other][j])
+            assert sorted(got) == [(a, b) for a, b in zip(i[good].tolist(), j[good].tolist()) if not same or a < b]
+    levels = simhash.size_classes(0.8)
+    assert all(np.searchsorted(levels, b, "right") - np.searchsorted(levels, -(-4 * b // 5), "right") <= 1 for b in range(2, 5000))
+
+
 def test_bit_sliced_comparison_and_splitting(monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
