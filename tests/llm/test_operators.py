@@ -246,6 +246,62 @@ def test_near_copies_among_many_that_share_most(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written for shuffles."""
+    jvm = spark.sparkContext._jvm
+    found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("hashes", [1 << 22, 2_000])
+def test_near_dedup_moves_only_texts_of_close_nodes(spark, monkeypatch, hashes):
+    """A few of 400 texts are close, one of them to eleven others; neither all texts nor one for each pair are shuffled."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(31)
+    words = [[f"{x:x}" for x in rng.integers(0, 1 << 62, 400)] for _ in range(400)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(words)] + [(1000 + k, " ".join(words[0][:-1] + [f"t{k}"])) for k in range(12)]
+    rows += [(2000 + k, " ".join(["z", *words[k][1:]])) for k in range(1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "HASHES", hashes)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        docs = kernel.written(docs, "test")
+        before = shuffled(spark)
+        assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()} == set(range(400))
+        assert shuffled(spark) - before < 0.4 * sum(len(t) for _, t in rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_mix_stores_whole_rows_once_and_leaves_words_where_they_are(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(32)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, 12))) for _ in range(2000)]
+    rows = [(k, " ".join(rng.choice(vocabulary, 1000)), k) for k in range(800)]  # about 787 distinct words of two bytes each
+    docs = kernel.written(spark.createDataFrame(rows, "doc_id long, text string, more long").repartition(3), "test")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(800)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    whole, made = [], mixing.written
+
+    def noted(df, tag):
+        whole.extend([tag] if "row" in df.columns else [])
+        return made(df, tag)
+
+    monkeypatch.setattr(mixing, "written", noted)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        before = shuffled(spark)
+        got = corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()
+        assert len(whole) == 1 and shuffled(spark) - before < 800 * len(rows)
+        copies = {r.doc_id: r.copies for r in mixing.query(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))).collect()}
+        assert sorted(r.doc_id for r in got) == sorted(k for k, n in copies.items() for _ in range(n)) and {(r.doc_id, r.text, r.more) for r in got} <= set(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_carry_save_counters_of_wide_fingerprints():
     rng = np.random.default_rng(30)
     fps = rng.integers(0, 2**63, (150, 2)).astype(np.uint64)
